@@ -30,6 +30,34 @@ def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("query_id", "rowid", "position", F.round("significance", 9).alias("significance"))
 
 
+def _near(spark: SparkSession, d: str):
+    from skein.llm.p02_near_duplicates import near_duplicates
+
+    subject, body = F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit(""))
+    return near_duplicates(table(spark, d, "messages_fts"), "rowid", F.concat(subject, F.lit(" "), body))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.p02_near_duplicates import all_pairs
+
+    return all_pairs(*_near(spark, d)).select(F.col("a").alias("rowid_a"), F.col("b").alias("rowid_b"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.p02_near_duplicates import groups
+
+    return groups(*_near(spark, d)).select(F.col("id").alias("rowid"), F.col("group").alias("group_id"), "links")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.p03_vectors import similar_vectors
+
+    mail = table(spark, d, "messages_vec").select(F.lit("messages").alias("collection"), "rowid", "embedding")
+    both = mail.unionByName(table(spark, d, "memory_vec").select(F.lit("memory").alias("collection"), "rowid", "embedding"))
+    near = similar_vectors(both, "collection", "rowid", "embedding", k=10, min_similarity=0.9)
+    return near.select("collection", F.least("rowid", "neighbour").alias("rowid_a"), F.greatest("rowid", "neighbour").alias("rowid_b")).distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from skein.llm.p04_conversations import rebuild
 
@@ -58,7 +86,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_ranking, p4_found, p4_conversations, p6_found, p6_pieces, p8_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_groups, p3_found, p4_found, p4_conversations, p6_found, p6_pieces, p8_ids)}
 
 _TURNS = r"""
 valid AS (SELECT * FROM memory_fts QUALIFY row_number() OVER (PARTITION BY coalesce('m' || memId, 'r' || rowid) ORDER BY rowid) = 1),
@@ -93,5 +121,17 @@ ORACLE: dict[str, str] = {
     "p1_found": f"WITH {_RANKS} SELECT r.query_id, r.rowid FROM ranked r JOIN (SELECT query_id, max(top_n) AS n FROM hybrid_queries GROUP BY query_id) q USING (query_id) WHERE position <= n",
     "p4_found": f"WITH {_TURNS} SELECT sessionId, number - first AS position, rowid FROM chat JOIN kept USING (sessionId)",
     "p4_conversations": f"WITH {_TURNS} SELECT sessionId, number - first AS position, rowid, role, content FROM chat JOIN kept USING (sessionId)",
+    "p2_found": r"""
+WITH words AS (
+  SELECT rowid, regexp_extract_all(lower(coalesce(subject, '') || ' ' || coalesce(body, '')), '[\p{L}\p{N}]+') AS w FROM messages_fts),
+s AS (SELECT DISTINCT rowid, unnest(list_transform(range(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS h FROM words WHERE len(w) >= 20),
+n AS (SELECT rowid, count(*) AS n FROM s GROUP BY rowid),
+c AS (SELECT a.rowid AS rowid_a, b.rowid AS rowid_b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.rowid < b.rowid GROUP BY ALL)
+SELECT rowid_a, rowid_b FROM c JOIN n x ON x.rowid = rowid_a JOIN n y ON y.rowid = rowid_b WHERE c >= 0.6 * (x.n + y.n - c)""",
+    "p3_found": """
+WITH v AS (
+  SELECT DISTINCT 'messages' AS collection, rowid, embedding::DOUBLE[] AS e FROM messages_vec UNION ALL SELECT DISTINCT 'memory', rowid, embedding::DOUBLE[] FROM memory_vec),
+g AS (SELECT collection, rowid, e::DOUBLE[64] AS e FROM v WHERE len(e) = 64 AND NOT list_bool_or(list_transform(e, lambda x: x IS NULL OR isnan(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0)))
+SELECT DISTINCT a.collection, a.rowid AS rowid_a, b.rowid AS rowid_b FROM g a JOIN g b ON a.collection = b.collection AND a.rowid < b.rowid WHERE array_cosine_similarity(a.e, b.e) >= 0.9""",
     "p6_found": "SELECT 'messages' AS collection, rowid FROM messages_fts WHERE length(body) > 2000 UNION ALL SELECT 'memory', rowid FROM memory_fts WHERE length(content) > 2000",
 }
