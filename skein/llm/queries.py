@@ -86,7 +86,17 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_groups, p3_found, p4_found, p4_conversations, p6_found, p6_pieces, p8_ids)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.p09_contamination import leaked
+
+    return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "item_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_groups, p3_found, p4_found, p4_conversations, p6_found, p6_pieces, p8_ids, p9_found, p9_leaks)}
 
 _TURNS = r"""
 valid AS (SELECT * FROM memory_fts QUALIFY row_number() OVER (PARTITION BY coalesce('m' || memId, 'r' || rowid) ORDER BY rowid) = 1),
@@ -133,5 +143,11 @@ WITH v AS (
   SELECT DISTINCT 'messages' AS collection, rowid, embedding::DOUBLE[] AS e FROM messages_vec UNION ALL SELECT DISTINCT 'memory', rowid, embedding::DOUBLE[] FROM memory_vec),
 g AS (SELECT collection, rowid, e::DOUBLE[64] AS e FROM v WHERE len(e) = 64 AND NOT list_bool_or(list_transform(e, lambda x: x IS NULL OR isnan(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0)))
 SELECT DISTINCT a.collection, a.rowid AS rowid_a, b.rowid AS rowid_b FROM g a JOIN g b ON a.collection = b.collection AND a.rowid < b.rowid WHERE array_cosine_similarity(a.e, b.e) >= 0.9""",
+    "p9_found": r"""
+WITH w AS (
+  SELECT 0 AS side, doc_id AS id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM documents UNION ALL
+  SELECT 1, item_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') FROM eval_items),
+g AS (SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM w WHERE len(w) >= 12)
+SELECT DISTINCT a.id AS doc_id, b.id AS item_id FROM g a JOIN g b ON a.g = b.g AND a.side = 0 AND b.side = 1""",
     "p6_found": "SELECT 'messages' AS collection, rowid FROM messages_fts WHERE length(body) > 2000 UNION ALL SELECT 'memory', rowid FROM memory_fts WHERE length(content) > 2000",
 }
