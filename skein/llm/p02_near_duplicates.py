@@ -9,21 +9,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm._groups import block_keys, mix, runs, whole_groups
 from skein.session import cut
 
-#: Signature layout: BANDS bands of ROWS registers. At similarity 0.6 a pair shares a band with probability 0.997, at 0.7 with 0.99995.
-BANDS, ROWS = 24, 3
-#: Records of one band bucket that one task joins with each other; larger buckets are joined as pairs of blocks.
-BLOCK = 256
+#: Signature layout: BANDS bands of ROWS registers. A pair shares a band with probability 0.96 at similarity 0.6, 0.991 at 0.65, 0.9987 at 0.7, 0.99998 at 0.8.
+BANDS, ROWS = 24, 4
+#: Of 64 registers one bit travels with each band; pairs that differ in more bits are no candidates (similarity 0.6: 12.8 expected, deviation 3.2).
+SKETCH, MOST_DIFFERENT = 64, 24
+#: Records of one band bucket that one task compares; larger buckets are split into pairs of blocks.
+BLOCK = 20_000
+#: Buckets are found to be large on one record in SAMPLE; this only spreads work and changes no result.
+SAMPLE = 50
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def prob_minhash(elements: np.ndarray, record: np.ndarray, records: int, registers: int, weights: np.ndarray | None = None) -> np.ndarray:
     """(records, registers) uint64 signatures; two records agree in a register with their probability Jaccard similarity.
 
@@ -40,7 +39,7 @@ def prob_minhash(elements: np.ndarray, record: np.ndarray, records: int, registe
     e, r = elements.astype(np.uint64, copy=False), record
     rate = None if weights is None else 1.0 / weights
     time = np.zeros(len(e))
-    state = _mix(e + _GOLDEN)
+    state = mix(e + _GOLDEN)
     latest = np.full(records, np.inf)
     while len(e):
         gap = -np.log1p(-(state >> np.uint64(11)).astype(np.float64) * (1.0 / (1 << 53)))
@@ -51,13 +50,13 @@ def prob_minhash(elements: np.ndarray, record: np.ndarray, records: int, registe
             rate = None if rate is None else rate[alive]
             if not len(e):
                 break
-        draw = _mix(state ^ np.uint64(0xD1B54A32D192ED03))
+        draw = mix(state ^ np.uint64(0xD1B54A32D192ED03))
         place = r * registers + ((draw >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)).astype(np.int64)
         np.minimum.at(first, place, time)
         won = first[place] == time
         holder[place[won]] = e[won]
         latest = first.reshape(records, registers).max(axis=1)
-        state = _mix(state + _GOLDEN)
+        state = mix(state + _GOLDEN)
     return holder.reshape(records, registers)
 
 
@@ -83,21 +82,62 @@ def _signatures(size: int):
                 record = np.repeat(np.arange(len(t)), n)
                 h = np.zeros(len(w) - size + 1, dtype=np.uint64)
                 for j in range(size):
-                    h = _mix(h * _GOLDEN + w[j : len(w) - size + 1 + j])
+                    h = mix(h * _GOLDEN + w[j : len(w) - size + 1 + j])
                 whole = record[: len(h)] == record[size - 1 :]
                 signature = prob_minhash(h[whole], record[: len(h)][whole], len(t), registers)
                 bands = np.zeros((len(t), BANDS), dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
                 for j in range(ROWS):
-                    bands = _mix(bands * _GOLDEN + signature[:, j::ROWS])
+                    bands = mix(bands * _GOLDEN + signature[:, j::ROWS])
+                bits = (mix(signature[:, :SKETCH]) & np.uint64(1)).astype(np.uint8)
+                sketch = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)[:, 0]
                 starts = np.concatenate([[0], np.cumsum(n)[:-1]])
                 step = np.arange(len(w), dtype=np.uint64) - np.repeat(starts, n).astype(np.uint64)
-                text = np.add.reduceat(_mix(w + _mix(step + np.uint64(1))), starts)
-                other = np.add.reduceat(_mix(w ^ _mix(step + np.uint64(1 << 40))), starts)
-                yield pd.DataFrame({"id": t["id"], "t0": text.view(np.int64), "t1": other.view(np.int64), "bands": list(bands.view(np.int64))})
+                text = np.add.reduceat(mix(w + mix(step + np.uint64(1))), starts)
+                other = np.add.reduceat(mix(w ^ mix(step + np.uint64(1 << 40))), starts)
+                yield pd.DataFrame({"id": t["id"], "t0": text.view(np.int64), "t1": other.view(np.int64), "bands": list(bands.view(np.int64)), "sketch": sketch})
+
+    return run
+
+
+def _split(large: dict[int, int]):
+    """Copies of the rows of large buckets, one for each pair of blocks they take part in."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = np.array(sorted(large), dtype=np.int64)
+        for t in batches:
+            hot = np.isin(t["band"].to_numpy(), names)
+            yield t[~hot]
+            for band, id_, _, sketch in t[hot].itertuples(index=False):
+                own, keys = block_keys(band, id_, large[band])
+                yield pd.DataFrame({"band": keys, "id": id_, "block": np.int32(own), "sketch": sketch})
 
     return run
 
 
+def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs of records of each band bucket whose sketches are near."""
+    for t in whole_groups(batches, "band"):
+        ids, block, sketch = t["id"].to_numpy(), t["block"].to_numpy(), t["sketch"].to_numpy().view(np.uint64)
+        starts, ends = runs(t["band"].to_numpy())
+        two = ends - starts == 2
+        left, right = [starts[two]], [starts[two] + 1]
+        near = np.bitwise_count(sketch[left[0]] ^ sketch[right[0]]) <= MOST_DIFFERENT
+        left[0], right[0] = left[0][near], right[0][near]
+        for start, end in zip(starts[~two], ends[~two]):
+            step = max(1, 4_000_000 // (end - start))
+            for at in range(start, end, step):
+                x = np.arange(at, min(at + step, end))
+                i, j = np.nonzero(np.bitwise_count(sketch[x][:, None] ^ sketch[None, start:end]) <= MOST_DIFFERENT)
+                i, j = x[i], start + j
+                keep = i < j
+                if block[start:end].any():
+                    keep &= (block[i] != block[j]) | (block[start:end].min() == block[start:end].max())
+                left.append(i[keep])
+                right.append(j[keep])
+        a, b = ids[np.concatenate(left)], ids[np.concatenate(right)]
+        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).query("a != b").drop_duplicates()
+
+
 def near_duplicates(df: DataFrame, id_: str, text: Column, threshold: float = 0.6, size: int = 3, least_words: int = 20) -> tuple[DataFrame, DataFrame]:
     """(links, members) of the records of `df`.
 
@@ -109,27 +149,25 @@ def near_duplicates(df: DataFrame, id_: str, text: Column, threshold: float = 0.
     Null texts and texts under `least_words` words are in no class. Repeated
     ids count once. Further columns are ignored; empty tables give empty
     results. Copies are folded before banding, so that a text that fills a
-    third of the table is one record; a bucket of many different records is
-    joined as pairs of blocks in many tasks, completely. Only records with a
-    candidate are read again for the verification.
+    third of the table is one record; a bucket of very many different records
+    is compared as pairs of blocks in many tasks, completely. Only records with
+    a candidate are read again for the verification.
     """
     if threshold < 0.5:
         raise ValueError("the signature layout is made for thresholds of at least 0.5")
     kind = df.schema[id_].dataType.simpleString()
     rows = df.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), word_hashes(text).alias("words")).where(F.size("words") >= max(least_words, size))
-    signed = rows.mapInPandas(_signatures(size), f"id {kind}, t0 long, t1 long, bands array<long>")
-    signed = cut(signed)
+    signed = cut(rows.mapInPandas(_signatures(size), f"id {kind}, t0 long, t1 long, bands array<long>, sketch long"))
     least = signed.groupBy("t0", "t1").agg(F.min("id").alias("class"))
     members = signed.select("id", "t0", "t1").join(least, ["t0", "t1"]).select("id", "class").distinct()
-    representatives = signed.select("t0", "t1", "id", "bands").groupBy("t0", "t1").agg(F.min_by("bands", "id").alias("bands"), F.min("id").alias("id"))
-    banded = representatives.select("id", F.explode("bands").alias("band"))
-    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    placed = banded.join(sizes, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", own)
-    left = placed.select("band", F.col("id").alias("a"), F.col("own").alias("la"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("lb"))
-    right = placed.select("band", F.col("id").alias("b"), F.col("own").alias("lb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("la"))
-    pairs = left.join(right, ["band", "la", "lb"]).where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    pairs = cut(pairs)
+    one_each = signed.groupBy("t0", "t1").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"), F.min_by("sketch", "id").alias("sketch"))
+    block = max(BLOCK, BANDS * signed.count() // 100_000)  # so that the list of large buckets has a bound at any size
+    sampled = signed.where(F.pmod(F.xxhash64("t0", "t1"), F.lit(SAMPLE)) == 0).dropDuplicates(["t0", "t1"]).select(F.explode("bands").alias("band"))
+    large = {r[0]: -(-r[1] * SAMPLE // block) for r in sampled.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block // SAMPLE // 2).collect()}
+    banded = one_each.select(F.explode("bands").alias("band"), "id", F.lit(0).alias("block"), "sketch")
+    if large:
+        banded = banded.mapInPandas(_split(large), banded.schema)
+    pairs = cut(banded.repartition("band").sortWithinPartitions("band").mapInPandas(_candidates, f"a {kind}, b {kind}").distinct())
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", shingle_set(F.col("words"), size).alias("set"))
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.llm._groups import block_keys, mix, runs, whole_groups
+
 TABLES = 3
 WIDTH = 1.5
 SKETCH_BITS = 128
@@ -56,12 +58,6 @@ def perturbations(projections: int, probes: int) -> list[tuple[int, ...]]:
     return [s for _, s in sorted(sets)[:probes]]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Hasher:
     """The p-stable tables: buckets of unit vectors, with perturbed ones in order of estimated success, and sign sketches."""
 
@@ -74,9 +70,9 @@ class Hasher:
         self.sets = perturbations(projections, probes)
 
     def _bucket(self, cells: np.ndarray, table: int, salt: np.ndarray) -> np.ndarray:
-        h = _mix(salt + np.uint64(table + 1))
+        h = mix(salt + np.uint64(table + 1))
         for j in range(self.k):
-            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + cells[:, j].astype(np.int64).view(np.uint64))
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + cells[:, j].astype(np.int64).view(np.uint64))
         return h.view(np.int64)
 
     def buckets(self, x: np.ndarray, salt: np.ndarray, home_only: bool = False) -> Iterator[tuple[bool, np.ndarray]]:
@@ -106,11 +102,6 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _salt(spaces: pd.Series) -> np.ndarray:
-    codes, names = pd.factorize(spaces)
-    return np.array([int.from_bytes(str(n).encode()[:8].ljust(8, b"\0"), "big") for n in names], dtype=np.uint64)[codes]
-
-
 def _compare(ids: np.ndarray, home: np.ndarray, block: np.ndarray, sketches: np.ndarray, limit: int) -> tuple[list, list]:
     """Pairs (less, greater id) within `limit` differing sketch bits of which one side is at home in the bucket."""
     left, right = [], []
@@ -133,18 +124,22 @@ def _compare(ids: np.ndarray, home: np.ndarray, block: np.ndarray, sketches: np.
     return left, right
 
 
-def candidate_pairs(df: DataFrame, space: str, id_: str, vector: str, dims: int, min_similarity: float, projections: int, probes: int, block: int) -> DataFrame:
-    """Distinct (space, a, b), a < b: vectors that share a visited bucket and whose sketches are near."""
+def candidate_pairs(df: DataFrame, min_similarity: float, projections: int, probes: int, block: int, dims: int) -> DataFrame:
+    """Distinct (space, a, b), a < b, of df(space, id, vector): vectors that share a visited bucket and whose sketches are near.
+
+    `space` is a 64-bit hash here; vectors of different spaces never meet.
+    """
+    kind = df.schema["id"].dataType.simpleString()
 
     def count_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher(dims, projections, 0)
         for t in batches:
             if len(t):
-                found = np.concatenate([h for _, h in hasher.buckets(_unit(t[vector]), _salt(t[space]), True)])
+                found = np.concatenate([h for _, h in hasher.buckets(_unit(t["vector"]), t["space"].to_numpy().view(np.uint64), True)])
                 bucket, n = np.unique(found, return_counts=True)
                 yield pd.DataFrame({"bucket": bucket, "n": n})
 
-    sizes = df.select(space, vector).mapInPandas(count_home, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sizes = df.select("space", "vector").mapInPandas(count_home, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     split = {r[0]: math.ceil(r[1] / block) for r in sizes.where(F.col("n") > block).collect()}  # at most MOST_SPLIT, see similar_vectors
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,62 +148,36 @@ def candidate_pairs(df: DataFrame, space: str, id_: str, vector: str, dims: int,
         for t in batches:
             if not len(t):
                 continue
-            x, salt, ids, names = _unit(t[vector]), _salt(t[space]), t[id_].to_numpy(), t[space].to_numpy()
+            x, space, ids = _unit(t["vector"]), t["space"].to_numpy(), t["id"].to_numpy()
             sketch = hasher.sketch(x)
-            for home, bucket in hasher.buckets(x, salt):
-                rows, first, second = np.arange(len(ids)), None, None
-                mine = np.zeros(len(ids), dtype=np.int32)
-                key = bucket
+            for home, bucket in hasher.buckets(x, space.view(np.uint64)):
+                rows, mine, key = np.arange(len(ids)), np.zeros(len(ids), dtype=np.int32), bucket
                 if len(large) and (hot := np.isin(bucket, large)).any():
                     pieces = [(rows[~hot], mine[~hot], bucket[~hot])]
                     for i in np.flatnonzero(hot):
-                        n = split[bucket[i]]
-                        own = int(_mix(np.array([ids[i]], dtype=np.int64).view(np.uint64))[0] % np.uint64(n))
-                        other = np.arange(n, dtype=np.uint64)
-                        low, high = np.minimum(other, np.uint64(own)), np.maximum(other, np.uint64(own))
-                        keys = _mix(bucket[i : i + 1].view(np.uint64) + _mix(low * np.uint64(n) + high + np.uint64(1))).view(np.int64)
-                        pieces.append((np.full(n, i), np.full(n, own, dtype=np.int32), keys))
+                        own, keys = block_keys(bucket[i], ids[i], split[bucket[i]])
+                        pieces.append((np.full(len(keys), i), np.full(len(keys), own, dtype=np.int32), keys))
                     rows, mine, key = (np.concatenate(p) for p in zip(*pieces))
-                yield pd.DataFrame({"bucket": key, "id": ids[rows], "home": np.full(len(rows), home), "block": mine, "s0": sketch[rows, 0], "s1": sketch[rows, 1], "space": names[rows]})
+                yield pd.DataFrame({"bucket": key, "space": space[rows], "id": ids[rows], "home": home, "block": mine, "s0": sketch[rows, 0], "s1": sketch[rows, 1]})
 
     angle = math.acos(min_similarity) / math.pi
     limit = math.ceil(SKETCH_BITS * angle + 2.5 * math.sqrt(SKETCH_BITS * angle * (1 - angle)))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []
-
-        def pairs(t: pd.DataFrame) -> pd.DataFrame:
-            bucket = t["bucket"].to_numpy()
-            ids, home, mine, name = t["id"].to_numpy(), t["home"].to_numpy(), t["block"].to_numpy(), t["space"].to_numpy()
+        for t in whole_groups(batches, "bucket"):
+            space, ids, home, mine = (t[c].to_numpy() for c in ("space", "id", "home", "block"))
             s = np.ascontiguousarray(t[["s0", "s1"]].to_numpy())
-            ends = np.flatnonzero(np.concatenate([bucket[1:] != bucket[:-1], [True]])) + 1
-            at, a, b, spaces = 0, [], [], []
-            for end in ends:
-                if end - at > 1 and home[at:end].any():
-                    left, right = _compare(ids[at:end], home[at:end], mine[at:end], s[at:end], limit)
-                    a += left
-                    b += right
-                    spaces.append(np.full(sum(map(len, left)), name[at], dtype=object))
-                at = end
-            return pd.DataFrame({"space": np.concatenate(spaces), "a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates() if a else pd.DataFrame({"space": [], "a": [], "b": []})
-
-        for t in batches:
-            if not len(t):
-                continue
-            last = t["bucket"].iloc[-1]
-            rest.append(t)
-            if t["bucket"].iloc[0] == last:
-                continue
-            whole = pd.concat(rest) if len(rest) > 1 else t
-            done = int(np.searchsorted(whole["bucket"].to_numpy(), last))
-            rest = [whole.iloc[done:]]
-            yield pairs(whole.iloc[:done])
-        if rest:
-            yield pairs(pd.concat(rest))
+            spaces, a, b = [], [], []
+            for start, end in zip(*runs(t["bucket"].to_numpy())):
+                left, right = _compare(ids[start:end], home[start:end], mine[start:end], s[start:end], limit)
+                a += left
+                b += right
+                spaces += [np.full(len(x), space[start]) for x in left]
+            if a:
+                yield pd.DataFrame({"space": np.concatenate(spaces), "a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
-    visits = df.select(space, id_, vector).mapInPandas(visit, f"bucket long, id {df.schema[id_].dataType.simpleString()}, home boolean, block int, s0 long, s1 long, space string")
-    met = visits.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(compare, f"space string, a {df.schema[id_].dataType.simpleString()}, b {df.schema[id_].dataType.simpleString()}")
-    return met.distinct()
+    visits = df.mapInPandas(visit, f"bucket long, space long, id {kind}, home boolean, block int, s0 long, s1 long")
+    return visits.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(compare, f"space long, a {kind}, b {kind}").distinct()
 
 
 def similar_vectors(df: DataFrame, space: str, id_: str, vector: str, k: int = 10, min_similarity: float = 0.9, dims: int = 64) -> DataFrame:
@@ -229,16 +198,17 @@ def similar_vectors(df: DataFrame, space: str, id_: str, vector: str, k: int = 1
     Only ids and 128-bit sketches travel to the buckets; vectors are shuffled
     once for the exact check.
     """
-    good = usable(df.where(F.col(id_).isNotNull() & F.col(space).isNotNull()), vector, dims).select(F.col(space).alias("space"), F.col(id_).alias("id"), F.col(vector).alias("vector"))
+    named = usable(df.where(F.col(id_).isNotNull() & F.col(space).isNotNull()), vector, dims)
+    good = named.select(F.xxhash64(space).alias("space"), F.col(id_).alias("id"), F.col(vector).alias("vector"), F.col(space).alias("name"))
     rows = good.count()
     projections = projections_for(rows)
     block = max(BLOCK, TABLES * rows // MOST_SPLIT)
-    pairs = candidate_pairs(good, "space", "id", "vector", dims, min_similarity, projections, probes_for(projections), block)
+    pairs = candidate_pairs(good.drop("name"), min_similarity, projections, probes_for(projections), block, dims)
     left = pairs.join(good.withColumnsRenamed({"id": "a", "vector": "va"}), ["space", "a"])
-    both = left.join(good.withColumnsRenamed({"id": "b", "vector": "vb"}), ["space", "b"])
+    both = left.join(good.drop("name").withColumnsRenamed({"id": "b", "vector": "vb"}), ["space", "b"])
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     cosine = dot("va", "vb") / F.sqrt(dot("va", "va") * dot("vb", "vb"))
-    near = both.select("space", "a", "b", cosine.alias("similarity")).where(F.col("similarity") >= min_similarity).groupBy("space", "a", "b").agg(F.max("similarity").alias("similarity"))
+    near = both.select(F.col("name").alias("space"), "a", "b", cosine.alias("similarity")).where(F.col("similarity") >= min_similarity).groupBy("space", "a", "b").agg(F.max("similarity").alias("similarity"))
     each = near.select("space", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("neighbour")), F.struct(F.col("b").alias("id"), F.col("a").alias("neighbour")))).alias("x"), "similarity").select("space", "x.*", "similarity")
     rank = F.row_number().over(Window.partitionBy("space", "id").orderBy(F.desc("similarity"), "neighbour"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("space").alias(space), F.col("id").alias(id_), "neighbour", "similarity", "rank")
