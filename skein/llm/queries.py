@@ -96,7 +96,23 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "item_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_groups, p3_found, p4_found, p4_conversations, p6_found, p6_pieces, p8_ids, p9_found, p9_leaks)}
+def _residue(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.p10_residue import residue
+
+    return residue(table(spark, d, "documents"), "doc_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _residue(spark, d).select("doc_id", "kind")
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.p10_residue import without_residue
+
+    return without_residue(table(spark, d, "documents"), _residue(spark, d), "doc_id").select("doc_id", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_groups, p3_found, p4_found, p4_conversations, p6_found, p6_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_clean)}
 
 _TURNS = r"""
 valid AS (SELECT * FROM memory_fts QUALIFY row_number() OVER (PARTITION BY coalesce('m' || memId, 'r' || rowid) ORDER BY rowid) = 1),
