@@ -158,14 +158,15 @@ def candidate_pairs(df: DataFrame, min_similarity: float, projections: int, prob
                         own, keys = block_keys(bucket[i], ids[i], split[bucket[i]])
                         pieces.append((np.full(len(keys), i), np.full(len(keys), own, dtype=np.int32), keys))
                     rows, mine, key = (np.concatenate(p) for p in zip(*pieces))
-                yield pd.DataFrame({"bucket": key, "space": space[rows], "id": ids[rows], "home": home, "block": mine, "s0": sketch[rows, 0], "s1": sketch[rows, 1]})
+                yield pd.DataFrame({"bucket": key, "space": space[rows], "id": ids[rows], "place": mine * 2 + int(home), "s0": sketch[rows, 0], "s1": sketch[rows, 1]})
 
     angle = math.acos(min_similarity) / math.pi
     limit = math.ceil(SKETCH_BITS * angle + 2.5 * math.sqrt(SKETCH_BITS * angle * (1 - angle)))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in whole_groups(batches, "bucket"):
-            space, ids, home, mine = (t[c].to_numpy() for c in ("space", "id", "home", "block"))
+            space, ids, place = (t[c].to_numpy() for c in ("space", "id", "place"))
+            home, mine = place % 2 == 1, place // 2
             s = np.ascontiguousarray(t[["s0", "s1"]].to_numpy())
             spaces, a, b = [], [], []
             for start, end in zip(*runs(t["bucket"].to_numpy())):
@@ -176,7 +177,7 @@ def candidate_pairs(df: DataFrame, min_similarity: float, projections: int, prob
             if a:
                 yield pd.DataFrame({"space": np.concatenate(spaces), "a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
-    visits = df.mapInPandas(visit, f"bucket long, space long, id {kind}, home boolean, block int, s0 long, s1 long")
+    visits = df.mapInPandas(visit, f"bucket long, space long, id {kind}, place int, s0 long, s1 long")
     return visits.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(compare, f"space long, a {kind}, b {kind}").distinct()
 
 
@@ -204,11 +205,13 @@ def similar_vectors(df: DataFrame, space: str, id_: str, vector: str, k: int = 1
     projections = projections_for(rows)
     block = max(BLOCK, TABLES * rows // MOST_SPLIT)
     pairs = candidate_pairs(good.drop("name"), min_similarity, projections, probes_for(projections), block, dims)
-    left = pairs.join(good.withColumnsRenamed({"id": "a", "vector": "va"}), ["space", "a"])
-    both = left.join(good.drop("name").withColumnsRenamed({"id": "b", "vector": "vb"}), ["space", "b"])
+    vectors = good.drop("name")  # the same exchange serves both sides
+    left = pairs.join(vectors.withColumnsRenamed({"id": "a", "vector": "va"}), ["space", "a"])
+    both = left.join(vectors.withColumnsRenamed({"id": "b", "vector": "vb"}), ["space", "b"])
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     cosine = dot("va", "vb") / F.sqrt(dot("va", "va") * dot("vb", "vb"))
-    near = both.select(F.col("name").alias("space"), "a", "b", cosine.alias("similarity")).where(F.col("similarity") >= min_similarity).groupBy("space", "a", "b").agg(F.max("similarity").alias("similarity"))
+    near = both.select("space", "a", "b", cosine.alias("similarity")).where(F.col("similarity") >= min_similarity).groupBy("space", "a", "b").agg(F.max("similarity").alias("similarity"))
     each = near.select("space", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("neighbour")), F.struct(F.col("b").alias("id"), F.col("a").alias("neighbour")))).alias("x"), "similarity").select("space", "x.*", "similarity")
     rank = F.row_number().over(Window.partitionBy("space", "id").orderBy(F.desc("similarity"), "neighbour"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("space").alias(space), F.col("id").alias(id_), "neighbour", "similarity", "rank")
+    names = good.groupBy("space").agg(F.min("name").alias("name"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).join(names, "space").select(F.col("name").alias(space), F.col("id").alias(id_), "neighbour", "similarity", "rank")
