@@ -80,6 +80,18 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(mail_and_memory(spark, d), "text", ["collection", "rowid"])
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.p07_new_text import not_new
+
+    return not_new(table(spark, d, "messages_fts"), "rowid", "body")
+
+
+def p7_new_text(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.p07_new_text import with_new_text
+
+    return with_new_text(table(spark, d, "messages_fts"), "body").select("rowid", "new_text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from skein.llm.p08_encoding import encode
 
@@ -112,7 +124,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(table(spark, d, "documents"), _residue(spark, d), "doc_id").select("doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_groups, p3_found, p4_found, p4_conversations, p6_found, p6_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_groups, p3_found, p4_found, p4_conversations, p6_found, p6_pieces, p7_found, p7_new_text, p8_ids, p9_found, p9_leaks, p10_found, p10_clean)}
 
 _TURNS = r"""
 valid AS (SELECT * FROM memory_fts QUALIFY row_number() OVER (PARTITION BY coalesce('m' || memId, 'r' || rowid) ORDER BY rowid) = 1),
