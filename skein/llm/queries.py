@@ -70,6 +70,24 @@ def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
     return rebuild(table(spark, d, "memory_fts"), table(spark, d, "memory_meta"))
 
 
+def _finder(spark: SparkSession, d: str):
+    from skein.llm.p05_personal import fit
+
+    return fit(mail_and_memory(spark, d), "rowid", "text", table(spark, d, "messages_fts"), ["from_", "to_", "cc", "bcc"])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.p05_personal import occurrences
+
+    return occurrences(mail_and_memory(spark, d), ["collection", "rowid"], "text", _finder(spark, d)).select("collection", "rowid", "kind", "start")
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.p05_personal import redact
+
+    return redact(mail_and_memory(spark, d), "text", _finder(spark, d)).select("collection", "rowid", "redacted")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).where("piece_no = 1").select("collection", "rowid")
 
@@ -124,7 +142,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(table(spark, d, "documents"), _residue(spark, d), "doc_id").select("doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_groups, p3_found, p4_found, p4_conversations, p6_found, p6_pieces, p7_found, p7_new_text, p8_ids, p9_found, p9_leaks, p10_found, p10_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_groups, p3_found, p4_found, p4_conversations, p5_found, p5_redacted, p6_found, p6_pieces, p7_found, p7_new_text, p8_ids, p9_found, p9_leaks, p10_found, p10_clean)}
 
 _TURNS = r"""
 valid AS (SELECT * FROM memory_fts QUALIFY row_number() OVER (PARTITION BY coalesce('m' || memId, 'r' || rowid) ORDER BY rowid) = 1),
