@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm._sample import least_hashes
+
 LABELS = ("other", "email", "phone", "id_number", "street_address", "name")
 EMAIL, PHONE, ID, ADDRESS, NAME = 1, 2, 3, 4, 5
 #: A name lexicon has this many slots in each of two tables (given, family), whatever the corpus.
@@ -89,7 +91,7 @@ def streets(text: str) -> Iterator[tuple[int, int]]:
     """The spans of street and house number, found from the number."""
     for m in _SMALL.finditer(text):
         start, end = m.span()
-        continued = start > 1 and text[start - 1] in " \n)" and text[start - 2] in "0123456789)"  # of a longer number
+        continued = start > 1 and text[start - 1] in " )" and text[start - 2] in "0123456789)"  # of a longer number
         first = None if continued else _NUMBER_FIRST.match(text, start)
         if first:
             unit = _UNIT_BEFORE.search(text[max(0, start - 14) : start])
@@ -484,8 +486,7 @@ class Finder:
 
 def fit(texts: DataFrame, id_: str, text: str, mails: DataFrame, columns: list[str], sample: int = FIT_TEXTS) -> Finder:
     """A finder whose lexicon covers all mails and whose CRF is fitted on `sample` texts (those of least id hash)."""
-    rows = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.xxhash64(id_, text).alias("h")).orderBy("h", "t").limit(sample).collect()
-    return Finder(learn_lexicon(mails, columns), [r[0] for r in rows])
+    return Finder(learn_lexicon(mails, columns), least_hashes(texts, [id_, text], text, sample))
 
 
 def occurrences(texts: DataFrame, keys: list[str], text: str, finder: Finder) -> DataFrame:
