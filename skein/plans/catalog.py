@@ -2,5 +2,327 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.functions.prepare import date_string, mail_text, memory_text
+from skein.functions.scores import bm25_to_score, distance_to_score
+from skein.operators import lookup, search
+from skein.operators.embedding import HashingEmbedder, embed
+from skein.operators.fusion import fuse
+from skein.operators.postings import build_postings, lengths, rank_by_postings
+from skein.operators.vector_search import nearest
+from skein.plans.match import MEMORY, MESSAGES, Layout, ranked
+from skein.plans.query import parse_match
+from skein.plans.synonyms import Synonyms
+from skein.sources.tables import table
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+_TEXTS = ["msgId", "subject", "from_", "to_", "cc", "bcc", "body"]
+_MEMORY_TEXTS = ["memId", "role", "content", "sessionId"]
+DAY = 86_400_000
+FROM, TO = 1704067200000 + 60 * DAY, 1704067200000 + 200 * DAY
+SYNONYMS = Synonyms([["invoice", "bill", "receipt"], ["calendar", "schedule", "timetable"]])
+#: A fixed query vector: no model file is at hand.
+VECTOR = [round(((i * 37) % 17 - 8) / 8, 3) for i in range(64)]
+
+
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    """The message collection: the first row of each msgId with its metadata, null texts as empty ones."""
+    text = lookup.first_wins(table(spark, d, "messages_fts"), "msgId", "rowid").fillna("", _TEXTS)
+    return lookup.fold_meta(text, table(spark, d, "message_meta"), ["dateMs", "hasAttachments", "parsedIcsAttachments"])
+
+
+def memory(spark: SparkSession, d: str) -> DataFrame:
+    text = lookup.first_wins(table(spark, d, "memory_fts"), "memId", "rowid").fillna("", _MEMORY_TEXTS)
+    return lookup.fold_meta(text, table(spark, d, "memory_meta").select("rowid", "dateMs", "turnIndex"), ["dateMs", "turnIndex"])
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query under its function's name, with its SQL if it has one."""
+
+    def register(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE[name or f.__name__] = sql
+        return f
+
+    return register
+
+
+_BASE = """
+WITH text AS (SELECT * FROM messages_fts WHERE msgId <> '' QUALIFY row_number() OVER (PARTITION BY msgId ORDER BY rowid) = 1),
+meta AS (SELECT DISTINCT * FROM message_meta QUALIFY row_number() OVER (PARTITION BY rowid ORDER BY dateMs, hasAttachments, parsedIcsAttachments) = 1),
+messages AS (SELECT t.rowid, msgId, coalesce(subject, '') AS subject, coalesce(from_, '') AS from_, coalesce(to_, '') AS to_, coalesce(cc, '') AS cc, coalesce(bcc, '') AS bcc, coalesce(body, '') AS body,
+                    dateMs, hasAttachments, parsedIcsAttachments FROM text t JOIN meta USING (rowid)),
+memory_text AS (SELECT * FROM memory_fts WHERE memId <> '' QUALIFY row_number() OVER (PARTITION BY memId ORDER BY rowid) = 1),
+mmeta AS (SELECT DISTINCT rowid, dateMs, turnIndex FROM memory_meta QUALIFY row_number() OVER (PARTITION BY rowid ORDER BY dateMs, turnIndex) = 1),
+memory AS (SELECT t.rowid, memId, coalesce(role, '') AS role, coalesce(content, '') AS content, coalesce(sessionId, '') AS sessionId, dateMs, turnIndex FROM memory_text t JOIN mmeta USING (rowid))
+"""
+
+
+def _tokens_sql(layout: Layout, source: str, name: str) -> str:
+    columns = ", ".join(rf"regexp_extract_all(strip_accents(lower({c})), '[\p{{L}}\p{{N}}_.@-]+') AS t_{c}" for c in layout.columns)
+    return f", {name} AS (SELECT *, {' + '.join(f'len(t_{c})' for c in layout.columns)} AS length FROM (SELECT *, {columns} FROM {source}))"
+
+
+def _bm25_sql(layout: Layout, source: str, terms: list[tuple[str, str | None]], where: str, live: list[str] | None = None) -> str:
+    """SQL for (.., rank): each term is a list_filter condition on x and perhaps a column; `where` is over m0, m1, ..."""
+    hits = []
+    for i, (condition, column) in enumerate(terms):
+        own = [column] if column else layout.columns
+        hits.append(f"{' + '.join(f'len(list_filter(t_{c}, lambda x: {condition}))' for c in own)} AS a{i}")
+        hits.append(f"{' + '.join(f'{layout.weights[c]} * len(list_filter(t_{c}, lambda x: {condition}))' for c in own)} AS f{i}")
+    stats = ", ".join(f"ln((count(*) - count(*) FILTER (a{i} > 0) + 0.5) / (count(*) FILTER (a{i} > 0) + 0.5)) AS i{i}" for i in range(len(terms)))
+    parts = [f"CASE WHEN {live[i] if live else 'true'} THEN (CASE WHEN i{i} > 0 THEN i{i} ELSE 1e-6 END) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * length / mean)) ELSE 0 END" for i in range(len(terms))]
+    for i in range(len(terms)):
+        where = where.replace(f"m{i}", f"(a{i} > 0)")
+        parts = [p.replace(f"m{i}", f"(a{i} > 0)") for p in parts]
+    return f"{_tokens_sql(layout, source, 'tokens')}, hits AS (SELECT *, {', '.join(hits)} FROM tokens), stats AS (SELECT avg(length) AS mean, {stats} FROM hits), ranked AS (SELECT hits.*, -({' + '.join(parts)}) AS rank FROM hits, stats WHERE {where})"
+
+
+def _ranks(df: DataFrame, expression: str, layout: Layout) -> DataFrame:
+    return ranked(df, parse_match(expression, layout.columns), layout).select("rowid", F.round("rank", 6).alias("rank"))
+
+
+_PLAIN = " SELECT rowid, round(rank, 6) AS rank FROM ranked"
+
+
+@query(_BASE + _bm25_sql(MESSAGES, "messages", [("x = 'invoice'", None)], "m0") + _PLAIN)
+def fts_term_bm25(spark, d):
+    return _ranks(messages(spark, d), "invoice", MESSAGES)
+
+
+@query(_BASE + _bm25_sql(MESSAGES, "messages", [("starts_with(x, 'calen')", None)], "m0") + _PLAIN)
+def fts_prefix_bm25(spark, d):
+    return _ranks(messages(spark, d), "calen*", MESSAGES)
+
+
+@query(_BASE + _bm25_sql(MESSAGES, "messages", [(f"x = '{w}'", None) for w in ("bill", "invoice", "receipt")], "m0 OR m1 OR m2") + _PLAIN)
+def fts_synonym_or_group(spark, d):
+    tree = search.tree_of("invoice", MESSAGES, SYNONYMS)
+    return ranked(messages(spark, d), tree, MESSAGES).select("rowid", F.round("rank", 6).alias("rank"))
+
+
+@query(_BASE + _bm25_sql(MESSAGES, "messages", [("x = 'invoice'", None), ("x = 'calendar'", None), ("x = 'lunch'", None), ("x = 'printer'", None)], "(m0 AND (m1 OR m2)) AND NOT m3", ["true", "true", "true", "false"]) + _PLAIN)
+def fts_and_not(spark, d):
+    return _ranks(messages(spark, d), "(invoice AND (calendar OR lunch)) NOT printer", MESSAGES)
+
+
+@query(_BASE + _bm25_sql(MESSAGES, "messages", [("x = 'move'", "subject"), ("x = 'invoice'", None)], "m0 OR m1") + _PLAIN)
+def fts_column_filter(spark, d):
+    return _ranks(messages(spark, d), "subject:move OR invoice", MESSAGES)
+
+
+_PAIRS = " + ".join(f"{w} * len(list_filter(range(1, len(t_{c})), lambda j: t_{c}[j] = 'search' AND t_{c}[j + 1] = 'index'))" for c, w in MESSAGES.weights.items())
+
+
+@query(
+    _BASE + _tokens_sql(MESSAGES, "messages", "tokens") + f", hits AS (SELECT *, {_PAIRS} AS f FROM tokens), stats AS (SELECT avg(length) AS mean, ln((count(*) - count(*) FILTER (f > 0) + 0.5) / (count(*) FILTER (f > 0) + 0.5)) AS i FROM hits)"
+    " SELECT rowid, round(-(CASE WHEN i > 0 THEN i ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS rank FROM hits, stats WHERE f > 0"
+)
+def fts_phrase(spark, d):
+    return _ranks(messages(spark, d), '"search index"', MESSAGES)
+
+
+@query()
+def fts_stemmed(spark, d):
+    return ranked(messages(spark, d), parse_match("meetings AND translated", MESSAGES.columns), MESSAGES, stems=True).select("rowid", F.round("rank", 6).alias("rank"))
+
+
+@query(_BASE + _bm25_sql(MESSAGES, "messages", [("x = 'calendar'", None)], "m0") + " SELECT rowid, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank, rowid LIMIT 200")
+def fts_postings(spark, d):
+    df = messages(spark, d)
+    return rank_by_postings(build_postings(df, MESSAGES), lengths(df, MESSAGES), MESSAGES, ["calendar"], 200).select("rowid", F.round("rank", 6).alias("rank"))
+
+
+_KEYWORD = _bm25_sql(MESSAGES, "messages", [("starts_with(x, 'parking')", None), ("starts_with(x, 'permit')", None)], "m0 AND m1")
+
+
+@query(_BASE + _KEYWORD + f" SELECT rowid, msgId AS uniqueId, from_ AS author, subject, dateMs, hasAttachments, round(rank, 6) AS rank FROM ranked WHERE dateMs BETWEEN {FROM} AND {TO} ORDER BY dateMs DESC, ranked.rank, rowid LIMIT 50")
+def search_keyword_recency_order(spark, d):
+    found = search.keyword_search(messages(spark, d), "parking permit", MESSAGES, FROM, TO, 50, SYNONYMS, snippets=False)
+    return found.withColumn("rank", F.round("rank", 6))
+
+
+@query(_BASE + _bm25_sql(MEMORY, "memory", [("starts_with(x, 'printer')", None), ("starts_with(x, 'label')", None)], "m0 AND m1") + " SELECT rowid, memId, role, content, sessionId, dateMs, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank, dateMs DESC, rowid LIMIT 50")
+def memory_search_rank_order(spark, d):
+    return search.keyword_search(memory(spark, d), "printer label", MEMORY, limit=50, synonyms=SYNONYMS, snippets=False).withColumn("rank", F.round("rank", 6))
+
+
+@query()
+def snippet(spark, d):
+    return search.keyword_search(messages(spark, d), "parking permit", MESSAGES, limit=50, synonyms=SYNONYMS).select("uniqueId", "snippet")
+
+
+@query(_BASE + f" SELECT rowid, memId, role, content, sessionId, dateMs, NULL::VARCHAR AS snippet, 0.0::DOUBLE AS rank FROM memory WHERE dateMs >= {FROM} ORDER BY dateMs DESC, rowid LIMIT 50")
+def memory_browse(spark, d):
+    return search.browse(memory(spark, d), FROM)
+
+
+_STAMP = "CASE WHEN dateMs = 0 THEN '' ELSE strftime(make_timestamp(dateMs * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN dateMs > 0 AND dateMs % 1000 <> 0 THEN '.' || lpad((dateMs % 1000)::VARCHAR, 3, '0') || '000' ELSE '' END END"
+
+
+@query(_BASE + f" SELECT rowid, msgId, subject, dateMs, {_STAMP} AS dateStr FROM messages WHERE dateMs BETWEEN {FROM} AND {TO} ORDER BY dateMs DESC, rowid LIMIT 1000")
+def date_range(spark, d):
+    return lookup.by_date_range(messages(spark, d), FROM, TO)
+
+
+@query(_BASE + f" SELECT rowid, {_STAMP} AS dateStr FROM messages")
+def date_str(spark, d):
+    return messages(spark, d).select("rowid", date_string(F.col("dateMs")).alias("dateStr"))
+
+
+@query(_BASE + " SELECT rowid, memId, role, content, sessionId, dateMs, turnIndex FROM memory WHERE dateMs BETWEEN 1704623885492 - 600000 AND 1704623885492 + 600000 ORDER BY dateMs, rowid LIMIT 50")
+def memory_read_around(spark, d):
+    return lookup.read_around(memory(spark, d), 1704623885492)
+
+
+_FIRST = "(SELECT min(msgId) FROM messages_fts)"
+
+
+@query(_BASE + f" SELECT rowid, msgId, subject, from_, to_, cc, bcc, body, dateMs, hasAttachments, parsedIcsAttachments FROM messages WHERE msgId = {_FIRST}")
+def get_by_id(spark, d):
+    first = table(spark, d, "messages_fts").agg(F.min("msgId")).first()[0]
+    return lookup.by_key(messages(spark, d), "msgId", first)
+
+
+@query(_BASE + f" SELECT msgId FROM messages WHERE msgId ILIKE split_part({_FIRST}, ':', 1) || ':%:' || split_part({_FIRST}, ':', -1)")
+def find_by_header(spark, d):
+    parts = table(spark, d, "messages_fts").agg(F.min("msgId")).first()[0].split(":")
+    return lookup.by_header(messages(spark, d), parts[0], parts[-1])
+
+
+@query(_BASE + " SELECT rowid, msgId, subject, dateMs FROM messages ORDER BY dateMs DESC, rowid LIMIT 10")
+def debug_sample(spark, d):
+    return lookup.newest(messages(spark, d)).select("rowid", "msgId", "subject", "dateMs")
+
+
+@query(_BASE + " SELECT rowid, memId, dateMs FROM memory ORDER BY dateMs DESC, rowid LIMIT 10")
+def memory_debug_sample(spark, d):
+    return lookup.newest(memory(spark, d)).select("rowid", "memId", "dateMs")
+
+
+@query(_BASE + " SELECT (SELECT count(*) FROM messages) AS docs, (SELECT count(*) FROM messages_vec) AS vecDocs")
+def stats(spark, d):
+    return lookup.counts(messages(spark, d), table(spark, d, "messages_vec"))
+
+
+@query(_BASE + " SELECT (SELECT count(*) FROM memory) AS memoryDocs, (SELECT count(*) FROM memory_vec) AS memoryVecDocs")
+def memory_stats(spark, d):
+    return lookup.counts(memory(spark, d), table(spark, d, "memory_vec"), "memoryDocs", "memoryVecDocs")
+
+
+@query("SELECT rowid, msgId FROM messages_fts a WHERE msgId <> '' AND NOT EXISTS (SELECT 1 FROM messages_fts b JOIN message_meta m USING (rowid) WHERE b.msgId = a.msgId AND m.hasAttachments)")
+def filter_new(spark, d):
+    incoming = table(spark, d, "messages_fts").select("rowid", "msgId")
+    indexed = incoming.join(table(spark, d, "message_meta").where("hasAttachments").select("rowid").distinct(), "rowid", "left_semi")
+    return lookup.not_in(incoming, indexed, "msgId").select("rowid", "msgId")
+
+
+@query("SELECT rowid, msgId, subject FROM messages_fts WHERE msgId <> '' QUALIFY row_number() OVER (PARTITION BY msgId ORDER BY rowid) = 1")
+def index_dedupe_first_wins(spark, d):
+    return lookup.first_wins(table(spark, d, "messages_fts"), "msgId", "rowid").select("rowid", "msgId", "subject")
+
+
+@query("SELECT rowid, memId, content FROM memory_fts WHERE memId <> '' QUALIFY row_number() OVER (PARTITION BY memId ORDER BY rowid) = 1")
+def memory_index_dedupe(spark, d):
+    return lookup.first_wins(table(spark, d, "memory_fts"), "memId", "rowid").select("rowid", "memId", "content")
+
+
+@query("SELECT rowid, msgId FROM messages_fts WHERE msgId IS NULL OR msgId NOT IN (SELECT msgId FROM messages_fts JOIN message_meta USING (rowid) WHERE dateMs = 0 AND msgId IS NOT NULL)")
+def remove_batch(spark, d):
+    rows = table(spark, d, "messages_fts").select("rowid", "msgId")
+    gone = rows.join(table(spark, d, "message_meta").where("dateMs = 0"), "rowid").select("msgId").distinct()
+    return rows.join(gone, "msgId", "left_anti").select("rowid", "msgId")
+
+
+_QUERY_VECTOR = "[" + ", ".join(map(str, VECTOR)) + "]"
+_NEAREST = f"""
+, usable AS (SELECT rowid, embedding::DOUBLE[] AS e FROM messages_vec WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+near AS (SELECT rowid, min(greatest(1 - array_cosine_similarity(e::DOUBLE[64], {_QUERY_VECTOR}::DOUBLE[64]), 0)) AS distance FROM usable GROUP BY rowid ORDER BY distance, rowid LIMIT 200)
+"""
+
+
+@query(_BASE + _NEAREST + " SELECT rowid, round(distance, 6) AS distance FROM near")
+def knn_cosine(spark, d):
+    return nearest(table(spark, d, "messages_vec"), VECTOR, 200).select("rowid", F.round("distance", 6).alias("distance"))
+
+
+@query("""
+WITH t AS (SELECT rowid, rank FROM (VALUES (1, -10.0::DOUBLE), (2, -5.0::DOUBLE)) x(rowid, rank)), v AS (SELECT rowid, distance FROM (VALUES (1, 0.2::DOUBLE), (3, 0.1::DOUBLE)) x(rowid, distance))
+SELECT rowid::BIGINT AS rowid, round(0.7 * coalesce(1 - distance, 0) + 0.3 * coalesce(-rank / (1 - rank), 0), 6) AS final_score FROM t FULL JOIN v USING (rowid)""")
+def hybrid_fusion(spark, d):
+    text = spark.createDataFrame([(1, -10.0), (2, -5.0)], "rowid long, rank double")
+    vectors = spark.createDataFrame([(1, 0.2), (3, 0.1)], "rowid long, distance double")
+    return fuse(text, vectors, 50).select("rowid", F.round("final_score", 6).alias("final_score"))
+
+
+_HYBRID = _bm25_sql(MESSAGES, "messages", [("starts_with(x, 'parking')", None), ("starts_with(x, 'permit')", None)], "m0 AND m1")
+
+
+@query(
+    _BASE + _HYBRID + _NEAREST
+    + f""", best AS (SELECT rowid, rank FROM ranked WHERE dateMs BETWEEN {FROM} AND {TO} ORDER BY ranked.rank, rowid LIMIT 200),
+fused AS (SELECT rowid, 0.7 * coalesce(greatest(1 - distance, 0), 0) + 0.3 * coalesce(-rank / (1 - rank), 0) AS score FROM best FULL JOIN near USING (rowid)),
+kept AS (SELECT * FROM fused WHERE score >= 0.1 ORDER BY score DESC, rowid LIMIT 50)
+SELECT rowid, msgId AS uniqueId, from_ AS author, subject, dateMs, hasAttachments, round(-score, 6) AS rank FROM messages JOIN kept USING (rowid) WHERE dateMs BETWEEN {FROM} AND {TO}"""
+)
+def hybrid_search_date_postfilter(spark, d):
+    found = search.hybrid_search(messages(spark, d), table(spark, d, "messages_vec"), "parking permit", VECTOR, MESSAGES, FROM, TO, 50, SYNONYMS, snippets=False)
+    return found.withColumn("rank", F.round("rank", 6))
+
+
+@query()
+def search_many(spark, d):
+    asked = table(spark, d, "hybrid_queries").select("query_id", F.regexp_replace("query", r'^from:\S+|"', "").alias("query"))
+    return search.search_many(messages(spark, d), asked, MESSAGES).select("query_id", "rowid", "position", F.round("rank", 6).alias("rank"))
+
+
+_SCORE = "CASE WHEN text_score IS NULL OR isnan(text_score) OR isinf(text_score) THEN 0 ELSE greatest(text_score, 0) END"
+
+
+@query(f"SELECT query_id, rowid, round({_SCORE} / (1 + {_SCORE}), 6) AS score FROM hybrid_candidates", name="bm25_to_score")
+def bm25_to_score_query(spark, d):
+    return table(spark, d, "hybrid_candidates").select("query_id", "rowid", F.round(bm25_to_score(-F.col("text_score")), 6).alias("score"))
+
+
+@query("SELECT query_id, rowid, round(CASE WHEN vector_score IS NULL OR isnan(vector_score) THEN 0 ELSE greatest(1 - vector_score, 0) END, 6) AS score FROM hybrid_candidates", name="distance_to_score")
+def distance_to_score_query(spark, d):
+    return table(spark, d, "hybrid_candidates").select("query_id", "rowid", F.round(distance_to_score(F.col("vector_score")), 6).alias("score"))
+
+
+def _stripped(c: str) -> str:
+    return rf"regexp_replace(coalesce({c}, ''), '^\s+|\s+$', '', 'g')"
+
+
+def _words(c: str, n: int) -> str:
+    return rf"regexp_replace(regexp_extract({c}, '^(?:\S*\s){{0,{n - 1}}}\S*'), '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    f"""
+WITH p AS (SELECT rowid, {_stripped('subject')} AS s, {_stripped('from_')} AS f, {_stripped('to_')} AS t, {_words(_stripped('body'), 150)} AS b FROM messages_fts),
+h AS (SELECT rowid, b, concat_ws(chr(10), CASE WHEN s <> '' THEN 'Subject: ' || s || chr(10) || 'Subject: ' || s END, CASE WHEN f <> '' THEN 'From: ' || f END, CASE WHEN t <> '' THEN 'To: ' || t END) AS h FROM p)
+SELECT rowid, CASE WHEN h = '' THEN b WHEN b = '' THEN h ELSE h || chr(10) || chr(10) || b END AS text FROM h"""
+)
+def embed_text_email(spark, d):
+    return table(spark, d, "messages_fts").select("rowid", mail_text(F.col("subject"), F.col("from_"), F.col("to_"), F.col("body")).alias("text"))
+
+
+@query(f"SELECT rowid, CASE WHEN coalesce(role, '') = '' THEN {_words(_stripped('content'), 200)} ELSE role || ': ' || {_words(_stripped('content'), 200)} END AS text FROM memory_fts")
+def embed_text_memory(spark, d):
+    return table(spark, d, "memory_fts").select("rowid", memory_text(F.col("role"), F.col("content")).alias("text"))
+
+
+@query("SELECT rowid, msgId FROM messages_fts WHERE rowid > 100 ORDER BY rowid LIMIT 500")
+def keyset_batch(spark, d):
+    return lookup.keyset_batch(table(spark, d, "messages_fts").select("rowid", "msgId"), 100, 500)
+
+
+@query()
+def rebuild_embeddings(spark, d):
+    """Every message embedded anew by the hashing model."""
+    return embed(embed_text_email(spark, d), "rowid", "text", HashingEmbedder())
