@@ -28,6 +28,8 @@ SLOT_BITS = 21
 #: The CRF is fitted on at most this many texts (those of least id hash), labelled by the rules of `silver`.
 FIT_TEXTS = 4000
 ROUNDS = 6
+#: Weights from which fitting starts, for signs that a sample may lack: (feature, label, weight).
+PRIOR = (("before:thing", 0, 6.0), ("label:other", 0, 2.0))
 
 _AT = r"(?:\s?@\s?|＠|&#64;|\s?\(at\)\s?|\s?\[at\]\s?|\s?\{at\}\s?|\s(?:at|AT)\s)"
 _DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\s(?:dot|DOT)\s)"
@@ -380,7 +382,11 @@ class SkipChain:
         for c in nodes:
             for f in c.features:
                 self.index.setdefault(f, len(self.index))
+        for f, _, _ in PRIOR:
+            self.index.setdefault(f, len(self.index))
         self.w = np.zeros((len(self.index), len(LABELS)))
+        for f, label, value in PRIOR:
+            self.w[self.index[f], label] = value
         known = np.flatnonzero(y >= 0)
         if len(known):
             node, feature = self._rows([nodes[i] for i in known])
