@@ -279,7 +279,9 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
                     add(at, at + len(written), ID, c.form, "label:none")
                 at = text.find(written, at + 1)
 
-    names = {w: v for w in set(_CAPITALISED.findall(text)) if (v := lexicon(w)) != (0, 0)}
+    words = set(_CAPITALISED.findall(text))
+    words |= {w[:-2] for w in words if w.endswith(("'s", "’s"))}
+    names = {w: v for w in words if (v := lexicon(w)) != (0, 0)}
     greeted = set()
     for sign in _GREETINGS:
         at = text.find(sign)

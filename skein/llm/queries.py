@@ -49,12 +49,23 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(*_near(spark, d)).select(F.col("id").alias("rowid"), F.col("group").alias("group_id"), "links")
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    mail = table(spark, d, "messages_vec").select(F.lit("messages").alias("collection"), "rowid", "embedding")
+    return mail.unionByName(table(spark, d, "memory_vec").select(F.lit("memory").alias("collection"), "rowid", "embedding"))
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every row whose id is divisible by 50, against all rows."""
+    from skein.llm.p03_vectors import search_vectors
+
+    both = _vectors(spark, d)
+    return search_vectors(both, both.where("rowid % 50 = 0"), "collection", "rowid", "embedding").withColumn("similarity", F.round("similarity", 5))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from skein.llm.p03_vectors import similar_vectors
 
-    mail = table(spark, d, "messages_vec").select(F.lit("messages").alias("collection"), "rowid", "embedding")
-    both = mail.unionByName(table(spark, d, "memory_vec").select(F.lit("memory").alias("collection"), "rowid", "embedding"))
-    near = similar_vectors(both, "collection", "rowid", "embedding", k=10, min_similarity=0.9)
+    near = similar_vectors(_vectors(spark, d), "collection", "rowid", "embedding", k=10, min_similarity=0.9)
     return near.select("collection", F.least("rowid", "neighbour").alias("rowid_a"), F.greatest("rowid", "neighbour").alias("rowid_b")).distinct()
 
 
@@ -142,7 +153,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(table(spark, d, "documents"), _residue(spark, d), "doc_id").select("doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_groups, p3_found, p4_found, p4_conversations, p5_found, p5_redacted, p6_found, p6_pieces, p7_found, p7_new_text, p8_ids, p9_found, p9_leaks, p10_found, p10_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_groups, p3_found, p3_neighbours, p4_found, p4_conversations, p5_found, p5_redacted, p6_found, p6_pieces, p7_found, p7_new_text, p8_ids, p9_found, p9_leaks, p10_found, p10_clean)}
 
 _TURNS = r"""
 valid AS (SELECT * FROM memory_fts QUALIFY row_number() OVER (PARTITION BY coalesce('m' || memId, 'r' || rowid) ORDER BY rowid) = 1),
