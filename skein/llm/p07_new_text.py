@@ -18,6 +18,7 @@ _INTRO = regex.compile(
     rf"(?:(?:On|Am|Le|El)\s.{{0,20}}\d.{{4,160}}\s{_WROTE}(?:\s.{{0,60}})?\s?:|.{{2,120}}\s{_WROTE}(?:\s(?:on|am|le|el)\s.{{4,40}})?\s?:|.{{2,80}}<[^<>\s]+@[^<>\s]+>(?:\s.{{0,40}}\d.{{0,20}})?\s?:)\s*",
     regex.I,
 )
+_SENTENCE_END = regex.compile(r"[.!?…][\"')»]*\s*$")
 _FORWARD = regex.compile(
     r"\s*(?:[-_]{3,}\s*(?:forwarded message|original message|original appointment|weitergeleitete nachricht|ursprüngliche nachricht|message (?:transféré|d'origine|original)|mensaje (?:original|reenviado))\s*[-_]{3,}"
     r"|(?:begin forwarded message|anfang der weitergeleiteten (?:e-mail|nachricht)|début du message (?:transféré|réexpédié)|inicio del mensaje reenviado)\s?:)\s*",
@@ -161,6 +162,8 @@ class Grammar:
             if len(text) > 240:
                 return None
             if text.endswith(":") and _INTRO.fullmatch(text):
+                if size > 1 and _SENTENCE_END.search(self.lines[at]) and self.intro_end(at + 1) is not None:
+                    return None  # a sentence stands above the introduction
                 after = self.next_line(i + 1)
                 if after < self.n and _QUOTED.match(self.lines[after]):
                     return after

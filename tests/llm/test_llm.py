@@ -256,6 +256,11 @@ def test_layout():
     assert [c.kind for n in tree if n.kind == "quote" for c in n.children] == ["new", "quote"]
 
 
+def test_introduction_under_a_sentence():
+    assert p7.old_lines("We are done.\nOn May 6, 2024, Anna Berg wrote:\n> old") == [1, 2]
+    assert p7.old_lines("new\n\nAnna Berg\n<anna@x.example> wrote on\n5/6/2024:\n> old") == [2, 3, 4, 5]
+
+
 @pytest.mark.parametrize("body", [None, "", " \n\t\n", "x" * 100_000, "\n" * 5000, "> " * 3000, ">" * 500 + " deep", "wrote:\n" * 300])
 def test_layout_hard_inputs(body):
     assert isinstance(p7.old_lines(body), list)
