@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.functions.analysis import tokens_py
 from skein.operators.embedding import Embedder, embed
 from skein.operators.lookup import keyset_batch
+from skein.operators.postings import build_postings, lengths, rank_by_postings
 from skein.plans.match import Layout
 
 SCHEMA_VERSION = 1
@@ -144,6 +146,31 @@ class Collection:
                     shutil.rmtree(p, ignore_errors=True)
         return {"ok": True}
 
+    def build_index(self, files: int = 8) -> dict:
+        """Writes the postings of the live version, range-partitioned and sorted by term, beside it.
+
+        A search then reads only the row groups whose terms it asks for. The
+        next change publishes a version without an index.
+        """
+        with self._locked():
+            folder = self.root / self.manifest()["version"]
+            docs = self.docs()
+            build_postings(docs, self.layout).repartitionByRange(files, "term").sortWithinPartitions("term", "rowid").write.mode("overwrite").parquet(str(folder / "postings"))
+            lengths(docs, self.layout).write.mode("overwrite").parquet(str(folder / "lengths"))
+        return {"ok": True}
+
+    def indexed(self) -> bool:
+        folder = self.root / self.manifest()["version"]
+        return all((folder / part / "_SUCCESS").exists() for part in ("postings", "lengths"))
+
+    def search_index(self, words: list[str], limit: int = 50) -> DataFrame:
+        """(rowid, rank) of the rows that have all words, from the index; unstemmed."""
+        if not self.indexed():
+            raise ValueError("the live version has no index")
+        terms = [t for w in words for t in tokens_py(w)]
+        read = self.spark.read.parquet
+        return rank_by_postings(read(self._path("postings")), read(self._path("lengths")), self.layout, terms, limit)
+
     def stats(self) -> dict:
         size = sum(p.stat().st_size for p in (self.root / self.manifest()["version"]).rglob("*.parquet"))
         return {"docs": self.docs().count(), "vecDocs": self.vectors().count(), "dbBytes": size}

@@ -150,6 +150,22 @@ def test_memory_engine(spark, tmp_path):
     assert engine.memory.stats()["memoryVecDocs"] == 0
 
 
+def test_stored_index_ranks_like_a_scan(spark, tmp_path):
+    engine = SearchEngine.open(spark, str(tmp_path / "db"))
+    engine.messages.index([_mail(i, body="alpha " * (i % 4) + "beta planning" + " filler" * i) for i in range(12)])
+    store = engine.messages.collection
+    with pytest.raises(ValueError):
+        store.search_index(["alpha"])
+    store.build_index(2)
+    got = {r.rowid: round(r["rank"], 9) for r in store.search_index(["alpha", "Planning"]).collect()}
+    expected = {r.rowid: round(r["rank"], 9) for r in ranked(store.docs(), parse_match("alpha planning", MESSAGES.columns), MESSAGES).collect()}
+    assert got == expected and len(got) == 9
+    plan = spark.read.parquet(store._path("postings")).where(F.col("term").isin("alpha"))._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,alpha)]" in plan
+    engine.messages.remove(["acct:/INBOX:1"])
+    assert not store.indexed()
+
+
 def test_streaming_ingest(spark, tmp_path):
     engine = SearchEngine.open(spark, str(tmp_path / "db"))
     source = tmp_path / "in"
