@@ -15,8 +15,8 @@ def _bin(score: Column) -> Column:
     return F.signum(score).cast("long") * F.floor(magnitude * BINS_PER_OCTAVE)
 
 
-def midranks(df: DataFrame, group: list[str], score: str, out: str = "rank") -> DataFrame:
-    """Adds `out`: the descending rank of `score` in its group, ties at their mean rank.
+def midranks(df: DataFrame, group: list[str], score: str, out: str = "rank", first: bool = False) -> DataFrame:
+    """Adds `out`: the descending rank of `score` in its group, ties at their mean rank or, with `first`, at their first.
 
     Null and NaN scores get a null rank and do not count. The count of each
     distinct score is aggregated first; then a group's order is the order of
@@ -33,6 +33,6 @@ def midranks(df: DataFrame, group: list[str], score: str, out: str = "rank") ->
     ranked = (
         values.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
         .join(bins, [*group, "_bin"])
-        .select(*group, score, (F.col("_above") + F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
+        .select(*group, score, (F.col("_above") + F.col("_before") + (F.lit(1) if first else (F.col("_n") + 1) / 2)).alias(out))
     )
     return df.join(ranked, [*group, score], "left")
