@@ -81,10 +81,11 @@ def top_places(ranked: DataFrame, wanted: DataFrame, group: str = "query_id", it
 
 
 def full_ranking(ranked: DataFrame, group: str = "query_id", item: str = "rowid") -> DataFrame:
-    """Every item with its `position` from 1 in its group; groups of any size are sorted by many tasks."""
-    keyed = ranked.withColumn("_key", -F.col("significance") - F.col("mean_rank") * F.lit(1e-9))
-    placed = midranks(keyed, [group], "_key", "_mid")
-    ties = Window.partitionBy(group, "_key").orderBy(F.asc(item))
-    n = F.count(F.lit(1)).over(Window.partitionBy(group, "_key"))
-    position = (F.col("_mid") - (n - 1) / 2).cast("long") + F.row_number().over(ties) - 1
-    return placed.withColumn("position", position.cast("long")).select(group, item, "significance", "mean_rank", "position")
+    """Every item with its `position` from 1 in its group; groups of any size are sorted by many tasks.
+
+    The order of significance, then of mean rank among equals, then of id.
+    """
+    keyed = ranked.withColumns({"_s": -F.col("significance"), "_m": -F.col("mean_rank")})
+    placed = midranks(midranks(keyed, [group], "_s", "_a", first=True), [group, "_s"], "_m", "_b", first=True)
+    last = F.row_number().over(Window.partitionBy(group, "_s", "_m").orderBy(F.asc(item)))
+    return placed.withColumn("position", (F.col("_a") + F.col("_b") + last - 2).cast("long")).select(group, item, "significance", "mean_rank", "position")

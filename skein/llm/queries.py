@@ -186,6 +186,7 @@ ranked AS (SELECT query_id, rowid, greatest(a, b) * greatest(a, b) AS significan
 """
 ORACLE: dict[str, str] = {
     "p1_found": f"WITH {_RANKS} SELECT r.query_id, r.rowid FROM ranked r JOIN (SELECT query_id, max(top_n) AS n FROM hybrid_queries GROUP BY query_id) q USING (query_id) WHERE position <= n",
+    "p1_ranking": f"WITH {_RANKS} SELECT query_id, rowid, position, round(least(significance, 1), 9) AS significance FROM ranked",
     "p4_found": f"WITH {_TURNS} SELECT sessionId, number - first AS position, rowid FROM chat JOIN kept USING (sessionId)",
     "p4_conversations": f"WITH {_TURNS} SELECT sessionId, number - first AS position, rowid, role, content FROM chat JOIN kept USING (sessionId)",
     "p2_found": r"""
