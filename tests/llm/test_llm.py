@@ -337,6 +337,12 @@ def test_residue(spark):
     assert rows_of(found.select("doc_id", "kind")) == {(i, k) for i, ks in enumerate(cases.values()) for k in ks}
     assert {r.doc_id for r in p10.without_residue(df, found, "doc_id").collect()} == {i for i, ks in enumerate(cases.values()) if not ks} | {99}
     assert p10.residue(df.limit(0), "doc_id").count() == 0
+    long = " ".join(prose * 40) + "\n404 Not Found\nThe requested page was not found on this server.\n" + " ".join(prose * 40)
+    whole = detector(long)
+    assert [k for k, _, _ in whole] == ["error_page"]
+    p10.STRETCH, before = 1000, p10.STRETCH
+    assert detector(long) == whole
+    p10.STRETCH = before
 
 
 # shared parts
