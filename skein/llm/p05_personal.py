@@ -11,6 +11,7 @@ document (skip), and sum-product messages run over both kinds of links at once.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -220,13 +221,14 @@ def _digits(s: str) -> str:
 def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
     """The candidates of a text in order, without overlaps, each with its features."""
     out: list[Candidate] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # sorted and without overlaps
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
+        i = bisect_left(taken, (b,))
+        return i == 0 or taken[i - 1][1] <= a
 
     def add(start: int, end: int, label: int, form: str, *features: str) -> None:
-        taken.append((start, end))
+        insort(taken, (start, end))
         out.append(Candidate(start, end, label, form, [f"is:{LABELS[label]}", *features]))
 
     low = text.lower()
@@ -299,13 +301,8 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
                 hits.append((at, end, w))
             at = text.find(w, end)
     hits.sort()
-    spans = sorted(taken)
-    starts = [a for a, _ in spans]
-    from bisect import bisect_right
-
     for a, b, w in hits:
-        i = bisect_right(starts, a) - 1
-        if i >= 0 and spans[i][1] > a:
+        if not free(a, b):
             continue
         given, family = names.get(w, (0, 0))
         before = text[max(0, a - 20) : a]

@@ -209,6 +209,7 @@ def test_skip_links_reach_equal_tokens(finder):
     text = "Dear Anna,\n" + "filler words here. " * 40 + "Anna"
     assert [k for k, _, _ in finder([text])[0]] == ["name", "name"]
     assert finder([None, "x" * 300_000]) == [[], []]
+    assert len(finder(["Dear Anna, mail a@x.example or +44 20 7946 0018.\n" * 5000])[0]) == 15_000
 
 
 def test_redaction(spark, finder):
