@@ -9,6 +9,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -56,3 +57,10 @@ def embed(df: DataFrame, id_: str, text: str, embedder: Embedder) -> DataFrame:
             yield pd.DataFrame({id_: t[id_], "embedding": list(vectors.astype(np.float32))})
 
     return df.select(id_, text).mapInPandas(run, schema)
+
+
+def embed_distinct(df: DataFrame, id_: str, text: str, embedder: Embedder) -> DataFrame:
+    """Like `embed`, but each different text goes through the model once, however many rows have it."""
+    keyed = df.select(id_, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_hash"), text)
+    once = keyed.groupBy("_hash").agg(F.min(text).alias("_text"))
+    return keyed.select(id_, "_hash").join(embed(once, "_hash", "_text", embedder), "_hash").select(id_, "embedding")

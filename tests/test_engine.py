@@ -176,3 +176,19 @@ def test_streaming_ingest(spark, tmp_path):
     spark.createDataFrame([make(2), make(3)], MESSAGE_SCHEMA).write.mode("append").parquet(str(source))
     run()
     assert sorted(r.msgId for r in engine.messages.collection.docs().collect()) == ["m1", "m2", "m3"]
+
+
+def test_versions(spark):
+    from skein.functions.versions import version_less_than
+
+    pairs = [("1.2", "1.10", True), ("1.2", "1.2.0", False), ("2.0", "1.9.9", False), ("1.x.3", "1.4", True)]
+    df = spark.createDataFrame(pairs, "a string, b string, less boolean")
+    assert [r[0] for r in df.select(version_less_than(F.col("a"), F.col("b")) == F.col("less")).collect()] == [True] * 4
+
+
+def test_embedding_each_text_once(spark):
+    from skein.operators.embedding import embed, embed_distinct
+
+    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None), (4, "")], "rowid long, text string")
+    plain, once = ({r.rowid: r.embedding for r in f(df, "rowid", "text", HashingEmbedder(8)).collect()} for f in (embed, embed_distinct))
+    assert plain == once and len(once) == 4
