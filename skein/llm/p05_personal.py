@@ -62,7 +62,7 @@ _ID_LABEL = re.compile(
     re.I,
 )
 _ID_SIGNS = (
-    "passport", "reisepass", "passeport", "pasaporte", "ssn", "social", "sozialvers", "sécurité soc", "seguridad soc", "tax id", "tax n", "tin", "steuer", "fiscal", "nif", "insurance", "ni n", "nino", "licence", "license",
+    "passport", "reisepass", "passeport", "pasaporte", "ssn", "social", "sozialvers", "sécurité soc", "seguridad soc", "tax id", "tax n", " tin ", " tin:", "steuer", "fiscal", "nif", "insurance", "ni n", "nino", "licence", "license",
     "führerschein", "permis de", "conducir", "id card", "identity card", "personalausweis", "carte d", "carte nat", "dni", "nie ", "nie:", "identidad",
 )
 _CODE = re.compile(r"(?:[A-Za-z]{1,3}[ -]?)?\d[A-Za-z\d]*(?:[ ./-]?[A-Za-z\d]*\d[A-Za-z\d]*)*[A-Za-z]?(?![\w])")
@@ -119,7 +119,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ENTRY = re.compile(r'(?:"([^"<>@]{3,80})"|([^",;<>@]{3,80}))\s*<([^<>\s@]+)@')
 _CAPITALISED = re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:['’-][^\W\d_]+)*")
 _GREETINGS = tuple(
-    x + " " for x in "Dear|Hi|Hello|Hallo|Hey|Hola|Bonjour|Salut|Moin|Guten Tag|Liebe|Lieber|Estimado|Estimada|Cher|Chère|Mr|Mrs|Ms|Mx|Mr.|Mrs.|Ms.|Dr.|Dr|Prof.|Herr|Herrn|Frau|Mme|Sr.|Sra.|Sr|Sra|señor|señora".split("|")
+    (x + " ", _CAPITALISED.match(x).group(0)) for x in "Dear|Hi|Hello|Hallo|Hey|Hola|Bonjour|Salut|Moin|Guten Tag|Liebe|Lieber|Estimado|Estimada|Cher|Chère|Mr|Mrs|Ms|Mx|Mr.|Mrs.|Ms.|Dr.|Dr|Prof.|Herr|Herrn|Frau|Mme|Sr.|Sra.|Sr|Sra|Señor|Señora".split("|")
 )
 _TITLE = re.compile(r"(?:^|[^\w])(?:mr|mrs|ms|miss|mx|dr|prof|professor|herrn?|frau|mme|mlle|monsieur|madame|m|sr|sra|srta|don|doña|señora?)\.?\s$", re.I)
 _GREETING = re.compile(r"(?:^|[\n>] ?|\W)(?:dear|hi|hello|hallo|hey|hola|bonjour|salut|moin|guten tag|guten morgen|liebe[rs]?|sehr geehrte[rs]?|estimad[oa]|cher|chère|querid[oa])\s$", re.I)
@@ -285,8 +285,8 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
     words |= {w[:-2] for w in words if w.endswith(("'s", "’s"))}
     names = {w: v for w in words if (v := lexicon(w)) != (0, 0)}
     greeted = set()
-    for sign in _GREETINGS:
-        at = text.find(sign)
+    for sign, word in _GREETINGS:
+        at = text.find(sign) if word in words else -1
         while at >= 0:
             m = _CAPITALISED.match(text, at + len(sign))
             if m and m.group(0) not in names and m.group(0).lower() not in _NO_NAMES and (at == 0 or not text[at - 1].isalnum()):
