@@ -99,7 +99,7 @@ def longest_shared_run(a: np.ndarray, b: np.ndarray, k: int) -> int:
     return best
 
 
-def leaked(corpus: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str = "text", least_words: int = 12, k: int = 6) -> DataFrame:
+def leaked(corpus: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str = "text", least_words: int = 12, k: int = 9) -> DataFrame:
     """(doc_id, item_id, words): the documents that have at least `least_words` consecutive words of an item, and how many at most.
 
     Fingerprints are winnowed with windows of least_words - k + 1 hashes, so
@@ -133,6 +133,7 @@ def leaked(corpus: DataFrame, items: DataFrame, doc_id: str, item_id: str, text:
     def shared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         codes = WordCodes()
         known: dict[str, np.ndarray] = {}
+        last, words = None, np.empty(0, dtype=np.uint64)
         for a, b in batches:
             out = []
             for x, y in zip(a, b):
@@ -140,7 +141,9 @@ def leaked(corpus: DataFrame, items: DataFrame, doc_id: str, item_id: str, text:
                     if len(known) > 1000:
                         known.clear()
                     known[y] = codes(plain_words(y))
-                out.append(longest_shared_run(codes(plain_words(x)), known[y], k))
+                if x != last:  # the join leaves a document's rows together
+                    last, words = x, codes(plain_words(x))
+                out.append(longest_shared_run(words, known[y], k))
             yield pd.Series(out, dtype="int32")
 
     both = hits.join(docs, "d").join(tests, "i")
