@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skein.llm._groups import block_keys, mix, runs, whole_groups
 
 TABLES = 3
-WIDTH = 1.5
+WIDTH = 2.0
 SKETCH_BITS = 128
 #: Rows of one bucket that one task compares; larger buckets are split into pairs of blocks.
 BLOCK = 20_000
@@ -31,13 +31,13 @@ def usable(df: DataFrame, vector: str, dims: int) -> DataFrame:
 
 
 def projections_for(rows: int) -> int:
-    """Projections a table needs for some hundred rows a bucket: each tells about 1.5 bits at WIDTH."""
-    return max(2, math.ceil((math.log2(max(rows, 2)) - 7) / 1.5))
+    """Projections a table needs for some hundred rows a bucket: each tells about 1.2 bits at WIDTH."""
+    return max(2, math.ceil((math.log2(max(rows, 2)) - 7) / 1.2))
 
 
 def probes_for(projections: int) -> int:
     """Perturbed buckets a vector visits besides its own; more where buckets are cut more finely."""
-    return max(3, projections // 2)
+    return max(4, projections // 2)
 
 
 def perturbations(projections: int, probes: int) -> list[tuple[int, ...]]:
@@ -190,7 +190,7 @@ def similar_vectors(df: DataFrame, space: str, id_: str, vector: str, k: int = 1
     and whose sign sketches agree well enough for `min_similarity` are merged
     over tables and ranked by exact cosine (doubles); only those of at least
     `min_similarity` are kept, ties by id. Near pairs of cosine 0.95 meet with
-    probability above 0.97, closer ones above 0.99.
+    probability above 0.98, closer ones above 0.995.
 
     Null, all-zero, non-finite and wrong-length vectors, null ids and null
     spaces are left out; a repeated row counts once; further columns are
@@ -218,7 +218,7 @@ def similar_vectors(df: DataFrame, space: str, id_: str, vector: str, k: int = 1
 
 
 #: For searches without a similarity bound: few projections, and the share of the rows whose cells a query visits at least.
-SEARCH_PROJECTIONS, SEARCH_SHARE = 3, 0.8
+SEARCH_PROJECTIONS, SEARCH_SHARE = 4, 0.8
 
 
 def search_vectors(df: DataFrame, queries: DataFrame, space: str, id_: str, vector: str, k: int = 10, dims: int = 64, share: float = SEARCH_SHARE, block: int = BLOCK) -> DataFrame:
