@@ -161,7 +161,7 @@ def candidate_pairs(df: DataFrame, min_similarity: float, projections: int, prob
                 yield pd.DataFrame({"bucket": key, "space": space[rows], "id": ids[rows], "place": mine * 2 + int(home), "s0": sketch[rows, 0], "s1": sketch[rows, 1]})
 
     angle = math.acos(min_similarity) / math.pi
-    limit = math.ceil(SKETCH_BITS * angle + 2.5 * math.sqrt(SKETCH_BITS * angle * (1 - angle)))
+    limit = math.ceil(SKETCH_BITS * angle + 1.8 * math.sqrt(SKETCH_BITS * angle * (1 - angle)))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in whole_groups(batches, "bucket"):
