@@ -75,9 +75,14 @@ def _signatures(size: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                t = batch.iloc[at : at + 1000]
-                n = t["words"].str.len().to_numpy().astype(np.int64)
+            sizes = batch["words"].str.len().to_numpy().astype(np.int64)
+            # Stretches of about a million words, so that long texts take no more memory than short ones.
+            part = np.cumsum(sizes) // 1_000_000 * 1_000_000 + np.arange(len(batch)) // 1000
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(batch)]
+            for at, end in zip(cuts, cuts[1:]):
+                if at == end:
+                    continue
+                t, n = batch.iloc[at:end], sizes[at:end]
                 w = np.concatenate(t["words"].to_numpy()).view(np.uint64)
                 record = np.repeat(np.arange(len(t)), n)
                 h = np.zeros(len(w) - size + 1, dtype=np.uint64)
