@@ -14,14 +14,18 @@ def fold_meta(text: DataFrame, meta: DataFrame, fields: list[str]) -> DataFrame:
     return text.join(once, "rowid")
 
 
-def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row for each key, that of least `order`; rows without a key (null or empty) are dropped.
-
-    A struct minimum, so that it combines before the shuffle and a key of many rows is no hot task.
+def first_wins(df: DataFrame, key: str, order: str, rows: DataFrame | None = None) -> DataFrame:
+    """One row for each key, that of least `order` (unique in a key); rows without a key (null or empty) are dropped.
+
+    Only keys and orders are aggregated, by hash and before the shuffle, so
+    that a key of many rows is no hot task; the rows come by a semi-join, for
+    which the planner may broadcast, and unused columns are never read.
+    `rows` are the same rows otherwise partitioned, from which the result is
+    taken.
     """
-    rest = [c for c in df.columns if c not in (key, order)]
-    keyed = df.where(F.col(key).isNotNull() & (F.col(key) != ""))
-    return keyed.groupBy(key).agg(F.min(order).alias(order), F.min_by(F.struct(*rest), order).alias("_r")).select(*[F.col(c) if c in (key, order) else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    valid = F.col(key).isNotNull() & (F.col(key) != "")
+    first = df.where(valid).groupBy(key).agg(F.min(order).alias(order))
+    return (df if rows is None else rows).where(valid).join(first, [key, order], "left_semi").select(*df.columns)
 
 
 def between(df: DataFrame, column: str, low: int | None = None, high: int | None = None) -> DataFrame:

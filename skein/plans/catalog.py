@@ -15,7 +15,7 @@ from skein.operators.vector_search import nearest
 from skein.plans.match import MEMORY, MESSAGES, Layout, ranked
 from skein.plans.query import parse_match
 from skein.plans.synonyms import Synonyms
-from skein.sources.tables import table
+from skein.sources.tables import spread, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -29,14 +29,19 @@ SYNONYMS = Synonyms([["invoice", "bill", "receipt"], ["calendar", "schedule", "t
 VECTOR = [round(((i * 37) % 17 - 8) / 8, 3) for i in range(64)]
 
 
-def messages(spark: SparkSession, d: str) -> DataFrame:
-    """The message collection: the first row of each msgId with its metadata, null texts as empty ones."""
-    text = lookup.first_wins(table(spark, d, "messages_fts"), "msgId", "rowid").fillna("", _TEXTS)
+def messages(spark: SparkSession, d: str, analysed: bool = False) -> DataFrame:
+    """The message collection: the first row of each msgId with its metadata, null texts as empty ones.
+
+    `analysed` is for searches, which cut every text into tokens.
+    """
+    rows = table(spark, d, "messages_fts")
+    text = lookup.first_wins(rows, "msgId", "rowid", spread(rows) if analysed else None).fillna("", _TEXTS)
     return lookup.fold_meta(text, table(spark, d, "message_meta"), ["dateMs", "hasAttachments", "parsedIcsAttachments"])
 
 
-def memory(spark: SparkSession, d: str) -> DataFrame:
-    text = lookup.first_wins(table(spark, d, "memory_fts"), "memId", "rowid").fillna("", _MEMORY_TEXTS)
+def memory(spark: SparkSession, d: str, analysed: bool = False) -> DataFrame:
+    rows = table(spark, d, "memory_fts")
+    text = lookup.first_wins(rows, "memId", "rowid", spread(rows) if analysed else None).fillna("", _MEMORY_TEXTS)
     return lookup.fold_meta(text, table(spark, d, "memory_meta").select("rowid", "dateMs", "turnIndex"), ["dateMs", "turnIndex"])
 
 
@@ -92,28 +97,28 @@ _PLAIN = " SELECT rowid, round(rank, 6) AS rank FROM ranked"
 
 @query(_BASE + _bm25_sql(MESSAGES, "messages", [("x = 'invoice'", None)], "m0") + _PLAIN)
 def fts_term_bm25(spark, d):
-    return _ranks(messages(spark, d), "invoice", MESSAGES)
+    return _ranks(messages(spark, d, True), "invoice", MESSAGES)
 
 
 @query(_BASE + _bm25_sql(MESSAGES, "messages", [("starts_with(x, 'calen')", None)], "m0") + _PLAIN)
 def fts_prefix_bm25(spark, d):
-    return _ranks(messages(spark, d), "calen*", MESSAGES)
+    return _ranks(messages(spark, d, True), "calen*", MESSAGES)
 
 
 @query(_BASE + _bm25_sql(MESSAGES, "messages", [(f"x = '{w}'", None) for w in ("bill", "invoice", "receipt")], "m0 OR m1 OR m2") + _PLAIN)
 def fts_synonym_or_group(spark, d):
     tree = search.tree_of("invoice", MESSAGES, SYNONYMS)
-    return ranked(messages(spark, d), tree, MESSAGES).select("rowid", F.round("rank", 6).alias("rank"))
+    return ranked(messages(spark, d, True), tree, MESSAGES).select("rowid", F.round("rank", 6).alias("rank"))
 
 
 @query(_BASE + _bm25_sql(MESSAGES, "messages", [("x = 'invoice'", None), ("x = 'calendar'", None), ("x = 'lunch'", None), ("x = 'printer'", None)], "(m0 AND (m1 OR m2)) AND NOT m3", ["true", "true", "true", "false"]) + _PLAIN)
 def fts_and_not(spark, d):
-    return _ranks(messages(spark, d), "(invoice AND (calendar OR lunch)) NOT printer", MESSAGES)
+    return _ranks(messages(spark, d, True), "(invoice AND (calendar OR lunch)) NOT printer", MESSAGES)
 
 
 @query(_BASE + _bm25_sql(MESSAGES, "messages", [("x = 'move'", "subject"), ("x = 'invoice'", None)], "m0 OR m1") + _PLAIN)
 def fts_column_filter(spark, d):
-    return _ranks(messages(spark, d), "subject:move OR invoice", MESSAGES)
+    return _ranks(messages(spark, d, True), "subject:move OR invoice", MESSAGES)
 
 
 _PAIRS = " + ".join(f"{w} * len(list_filter(range(1, len(t_{c})), lambda j: t_{c}[j] = 'search' AND t_{c}[j + 1] = 'index'))" for c, w in MESSAGES.weights.items())
@@ -124,17 +129,17 @@ _PAIRS = " + ".join(f"{w} * len(list_filter(range(1, len(t_{c})), lambda j: t_{c
     " SELECT rowid, round(-(CASE WHEN i > 0 THEN i ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS rank FROM hits, stats WHERE f > 0"
 )
 def fts_phrase(spark, d):
-    return _ranks(messages(spark, d), '"search index"', MESSAGES)
+    return _ranks(messages(spark, d, True), '"search index"', MESSAGES)
 
 
 @query()
 def fts_stemmed(spark, d):
-    return ranked(messages(spark, d), parse_match("meetings AND translated", MESSAGES.columns), MESSAGES, stems=True).select("rowid", F.round("rank", 6).alias("rank"))
+    return ranked(messages(spark, d, True), parse_match("meetings AND translated", MESSAGES.columns), MESSAGES, stems=True).select("rowid", F.round("rank", 6).alias("rank"))
 
 
 @query(_BASE + _bm25_sql(MESSAGES, "messages", [("x = 'calendar'", None)], "m0") + " SELECT rowid, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank, rowid LIMIT 200")
 def fts_postings(spark, d):
-    df = messages(spark, d)
+    df = messages(spark, d, True)
     return rank_by_postings(build_postings(df, MESSAGES), lengths(df, MESSAGES), MESSAGES, ["calendar"], 200).select("rowid", F.round("rank", 6).alias("rank"))
 
 
@@ -143,18 +148,18 @@ _KEYWORD = _bm25_sql(MESSAGES, "messages", [("starts_with(x, 'parking')", None),
 
 @query(_BASE + _KEYWORD + f" SELECT rowid, msgId AS uniqueId, from_ AS author, subject, dateMs, hasAttachments, round(rank, 6) AS rank FROM ranked WHERE dateMs BETWEEN {FROM} AND {TO} ORDER BY dateMs DESC, ranked.rank, rowid LIMIT 50")
 def search_keyword_recency_order(spark, d):
-    found = search.keyword_search(messages(spark, d), "parking permit", MESSAGES, FROM, TO, 50, SYNONYMS, snippets=False)
+    found = search.keyword_search(messages(spark, d, True), "parking permit", MESSAGES, FROM, TO, 50, SYNONYMS, snippets=False)
     return found.withColumn("rank", F.round("rank", 6))
 
 
 @query(_BASE + _bm25_sql(MEMORY, "memory", [("starts_with(x, 'printer')", None), ("starts_with(x, 'label')", None)], "m0 AND m1") + " SELECT rowid, memId, role, content, sessionId, dateMs, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank, dateMs DESC, rowid LIMIT 50")
 def memory_search_rank_order(spark, d):
-    return search.keyword_search(memory(spark, d), "printer label", MEMORY, limit=50, synonyms=SYNONYMS, snippets=False).withColumn("rank", F.round("rank", 6))
+    return search.keyword_search(memory(spark, d, True), "printer label", MEMORY, limit=50, synonyms=SYNONYMS, snippets=False).withColumn("rank", F.round("rank", 6))
 
 
 @query()
 def snippet(spark, d):
-    return search.keyword_search(messages(spark, d), "parking permit", MESSAGES, limit=50, synonyms=SYNONYMS).select("uniqueId", "snippet")
+    return search.keyword_search(messages(spark, d, True), "parking permit", MESSAGES, limit=50, synonyms=SYNONYMS).select("uniqueId", "snippet")
 
 
 @query(_BASE + f" SELECT rowid, memId, role, content, sessionId, dateMs, NULL::VARCHAR AS snippet, 0.0::DOUBLE AS rank FROM memory WHERE dateMs >= {FROM} ORDER BY dateMs DESC, rowid LIMIT 50")
@@ -271,14 +276,14 @@ kept AS (SELECT * FROM fused WHERE score >= 0.1 ORDER BY score DESC, rowid LIMIT
 SELECT rowid, msgId AS uniqueId, from_ AS author, subject, dateMs, hasAttachments, round(-score, 6) AS rank FROM messages JOIN kept USING (rowid) WHERE dateMs BETWEEN {FROM} AND {TO}"""
 )
 def hybrid_search_date_postfilter(spark, d):
-    found = search.hybrid_search(messages(spark, d), table(spark, d, "messages_vec"), "parking permit", VECTOR, MESSAGES, FROM, TO, 50, SYNONYMS, snippets=False)
+    found = search.hybrid_search(messages(spark, d, True), table(spark, d, "messages_vec"), "parking permit", VECTOR, MESSAGES, FROM, TO, 50, SYNONYMS, snippets=False)
     return found.withColumn("rank", F.round("rank", 6))
 
 
 @query()
 def search_many(spark, d):
     asked = table(spark, d, "hybrid_queries").select("query_id", F.regexp_replace("query", r'^from:\S+|"', "").alias("query"))
-    return search.search_many(messages(spark, d), asked, MESSAGES).select("query_id", "rowid", "position", F.round("rank", 6).alias("rank"))
+    return search.search_many(messages(spark, d, True), asked, MESSAGES).select("query_id", "rowid", "position", F.round("rank", 6).alias("rank"))
 
 
 _SCORE = "CASE WHEN text_score IS NULL OR isnan(text_score) OR isinf(text_score) THEN 0 ELSE greatest(text_score, 0) END"

@@ -8,3 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The table `name`: one Parquet file or a folder of part files."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A bare scan with at least as many partitions as there are cores.
+
+    For plans that compute much on each row: a table in one small file would be
+    one task. Tables of more files than cores stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
