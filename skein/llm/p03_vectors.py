@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 
 from skein.llm._groups import block_keys, mix, runs, whole_groups
 
-TABLES = 3
 WIDTH = 2.0
+#: Least probability, at any number of rows, that two vectors at the similarity bound meet in some table.
+MEET = 0.993
+#: Comparisons in a bucket that cost as much as one more visit; weighs large buckets against many tables.
+VISIT = 2000
 SKETCH_BITS = 128
 #: Rows of one bucket that one task compares; larger buckets are split into pairs of blocks.
 BLOCK = 20_000
@@ -30,16 +34,6 @@ def usable(df: DataFrame, vector: str, dims: int) -> DataFrame:
     return df.where(F.coalesce((F.size(v) == dims) & finite & F.exists(v, lambda x: x != 0), F.lit(False)))
 
 
-def projections_for(rows: int) -> int:
-    """Projections a table needs for some hundred rows a bucket: each tells about 1.2 bits at WIDTH."""
-    return max(2, math.ceil((math.log2(max(rows, 2)) - 7) / 1.2))
-
-
-def probes_for(projections: int) -> int:
-    """Perturbed buckets a vector visits besides its own; more where buckets are cut more finely."""
-    return max(4, projections // 2)
-
-
 def perturbations(projections: int, probes: int) -> list[tuple[int, ...]]:
     """The most promising sets of boundary crossings, best first.
 
@@ -58,10 +52,54 @@ def perturbations(projections: int, probes: int) -> list[tuple[int, ...]]:
     return [s for _, s in sorted(sets)[:probes]]
 
 
+@lru_cache(maxsize=256)
+def meeting(projections: int, probes: int, similarity: float, pairs: int = 20_000) -> float:
+    """The probability that two unit vectors of this cosine meet in one table: one visits the other's own bucket.
+
+    Their projections are normal with the cosine as correlation, so `pairs` drawn pairs stand for vectors of any dimension.
+    """
+    rng = np.random.default_rng(_SEED)
+    u, noise, b = rng.normal(size=(pairs, projections)), rng.normal(size=(pairs, projections)), rng.uniform(size=(pairs, projections))
+    p, q = u / WIDTH + b, (similarity * u + math.sqrt(max(0.0, 1 - similarity**2)) * noise) / WIDTH + b
+    met = (np.floor(p) == np.floor(q)).all(axis=1)
+    sets, rows = perturbations(projections, probes), np.arange(pairs)
+    for x, y in ((p, q), (q, p)):
+        cell, other = np.floor(x), np.floor(y)
+        order = np.argsort(np.concatenate([x - cell, 1 - (x - cell)], axis=1), axis=1)
+        for s in sets:
+            moved = cell.copy()
+            for j in s:
+                c = order[:, j - 1]
+                moved[rows, c % projections] += np.where(c < projections, -1, 1)
+            met |= (moved == other).all(axis=1)
+    return float(met.mean())
+
+
+def tables_for(projections: int, probes: int, similarity: float) -> float:
+    """Tables after which two vectors of this cosine have met with probability MEET; infinite where no drawn pair meets."""
+    p = meeting(projections, probes, similarity)
+    return math.inf if p == 0 else 1 if p >= MEET else math.ceil(math.log(1 - MEET) / math.log(1 - p))
+
+
+def layout_for(rows: int, similarity: float) -> tuple[int, int, int]:
+    """(projections, probes, tables) of least cost of those that let vectors of this cosine meet with probability MEET.
+
+    `rows` are those of one space. More rows take more projections, or buckets grow, and with them more tables, or pairs are lost. No projection at
+    all, everything in one bucket, is the choice for few rows and for bounds where hashing doesn't separate.
+    """
+    best = (1 + rows / VISIT, 0, 0, 1)
+    for k in range(1, math.ceil(math.log2(max(rows, 2))) + 1):
+        share = 0.4883**k  # of two independent vectors, in one bucket at WIDTH
+        for probes in range(5):
+            tables = tables_for(k, probes, similarity)
+            best = min(best, (tables * (probes + 1) * (1 + rows * share / VISIT), k, probes, tables))
+    return best[1:]
+
+
 class Hasher:
     """The p-stable tables: buckets of unit vectors, with perturbed ones in order of estimated success, and sign sketches."""
 
-    def __init__(self, dims: int, projections: int, probes: int, tables: int = TABLES, width: float = WIDTH):
+    def __init__(self, dims: int, projections: int, probes: int, tables: int, width: float = WIDTH):
         rng = np.random.default_rng(_SEED)
         self.k, self.tables, self.width = projections, tables, width
         self.a = rng.normal(size=(dims, tables * projections)).astype(np.float32)
@@ -124,7 +162,7 @@ def _compare(ids: np.ndarray, home: np.ndarray, block: np.ndarray, sketches: np.
     return left, right
 
 
-def candidate_pairs(df: DataFrame, min_similarity: float, projections: int, probes: int, block: int, dims: int) -> DataFrame:
+def candidate_pairs(df: DataFrame, min_similarity: float, projections: int, probes: int, tables: int, block: int, dims: int) -> DataFrame:
     """Distinct (space, a, b), a < b, of df(space, id, vector): vectors that share a visited bucket and whose sketches are near.
 
     `space` is a 64-bit hash here; vectors of different spaces never meet.
@@ -132,7 +170,7 @@ def candidate_pairs(df: DataFrame, min_similarity: float, projections: int, prob
     kind = df.schema["id"].dataType.simpleString()
 
     def count_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher(dims, projections, 0)
+        hasher = Hasher(dims, projections, 0, tables)
         for t in batches:
             if len(t):
                 found = np.concatenate([h for _, h in hasher.buckets(_unit(t["vector"]), t["space"].to_numpy().view(np.uint64), True)])
@@ -143,7 +181,7 @@ def candidate_pairs(df: DataFrame, min_similarity: float, projections: int, prob
     split = {r[0]: math.ceil(r[1] / block) for r in sizes.where(F.col("n") > block).collect()}  # at most MOST_SPLIT, see similar_vectors
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher(dims, projections, probes)
+        hasher = Hasher(dims, projections, probes, tables)
         large = np.array(sorted(split), dtype=np.int64)
         for t in batches:
             if not len(t):
@@ -184,13 +222,15 @@ def candidate_pairs(df: DataFrame, min_similarity: float, projections: int, prob
 def similar_vectors(df: DataFrame, space: str, id_: str, vector: str, k: int = 10, min_similarity: float = 0.9, dims: int = 64) -> DataFrame:
     """(space, id, neighbour, similarity, rank): up to k most similar other vectors of the same space for each vector.
 
-    Every vector is hashed by TABLES tables of p-stable projections; it stays
-    in its own bucket and visits the perturbed buckets that most probably hold
-    near vectors, in order of estimated success. Vectors that meet in a bucket
-    and whose sign sketches agree well enough for `min_similarity` are merged
-    over tables and ranked by exact cosine (doubles); only those of at least
-    `min_similarity` are kept, ties by id. Near pairs of cosine 0.95 meet with
-    probability above 0.98, closer ones above 0.995.
+    Every vector is hashed by tables of p-stable projections; it stays in its
+    own bucket and visits the perturbed buckets that most probably hold near
+    vectors, in order of estimated success. Vectors that meet in a bucket and
+    whose sign sketches agree well enough for `min_similarity` are merged over
+    tables and ranked by exact cosine (doubles); only those of at least
+    `min_similarity` are kept, ties by id. `layout_for` adds tables as the rows
+    grow, so that pairs at `min_similarity` meet with probability MEET at any
+    size, nearer ones more often; visits a vector grow instead (at a bound of 0.9
+    12 at 35,000 rows a space, 24 at 350,000, 34 at 3.5 million, 76 at 30 million).
 
     Null, all-zero, non-finite and wrong-length vectors, null ids and null
     spaces are left out; a repeated row counts once; further columns are
@@ -201,10 +241,10 @@ def similar_vectors(df: DataFrame, space: str, id_: str, vector: str, k: int = 1
     """
     named = usable(df.where(F.col(id_).isNotNull() & F.col(space).isNotNull()), vector, dims)
     good = named.select(F.xxhash64(space).alias("space"), F.col(id_).alias("id"), F.col(vector).alias("vector"), F.col(space).alias("name"))
-    rows = good.count()
-    projections = projections_for(rows)
-    block = max(BLOCK, TABLES * rows // MOST_SPLIT)
-    pairs = candidate_pairs(good.drop("name"), min_similarity, projections, probes_for(projections), block, dims)
+    rows, squares = good.groupBy("space").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n").cast("double") ** 2), F.lit(0.0))).first()
+    projections, probes, tables = layout_for(round(squares / max(rows, 1)), min_similarity)  # the rows that a vector's space has on average
+    block = max(BLOCK, tables * rows // MOST_SPLIT)
+    pairs = candidate_pairs(good.drop("name"), min_similarity, projections, probes, tables, block, dims)
     vectors = good.drop("name")  # the same exchange serves both sides
     left = pairs.join(vectors.withColumnsRenamed({"id": "a", "vector": "va"}), ["space", "a"])
     both = left.join(vectors.withColumnsRenamed({"id": "b", "vector": "vb"}), ["space", "b"])

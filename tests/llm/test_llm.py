@@ -133,6 +133,35 @@ def test_similar_vectors_recall(spark, monkeypatch):
     assert p3.similar_vectors(df.limit(0), "space", "rowid", "vector").count() == 0
 
 
+@pytest.mark.parametrize("rows", [30_000, 350_000, 3_500_000, 30_000_000])
+def test_recall_does_not_fall_with_size(rows):
+    rng = np.random.default_rng(6)
+    a, other = rng.normal(size=(2, 3000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    other -= (other * a).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + (1 - 0.9**2) ** 0.5 * other / np.linalg.norm(other, axis=1, keepdims=True)
+    projections, probes, tables = p3.layout_for(rows, 0.9)
+    hasher, salt = p3.Hasher(64, projections, probes, tables), np.zeros(3000, dtype=np.uint64)
+    met, home = np.zeros(3000, dtype=bool), None
+    for (own, x), (_, y) in zip(hasher.buckets(a.astype(np.float32), salt), hasher.buckets(b.astype(np.float32), salt)):
+        if own:
+            home = x, y
+        met |= (x == home[1]) | (y == home[0])
+    assert met.mean() >= 0.988
+
+
+def test_candidates_at_the_layout_of_millions_of_rows(spark):
+    rng = np.random.default_rng(7)
+    a, other = rng.normal(size=(2, 400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    other -= (other * a).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + (1 - 0.9**2) ** 0.5 * other / np.linalg.norm(other, axis=1, keepdims=True)
+    rows = [(1, i, [float(v) for v in r]) for i, r in enumerate(np.concatenate([a, b]))]
+    df = spark.createDataFrame(rows, "space long, id long, vector array<float>")
+    pairs = p3.candidate_pairs(df, 0.9, *p3.layout_for(3_500_000, 0.9), p3.BLOCK, 64)
+    assert pairs.where("b = a + 400").count() >= 0.95 * 400
+
+
 def test_search_reaches_its_recall(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 64))
