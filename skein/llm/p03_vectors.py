@@ -20,6 +20,8 @@ MEET = 0.993
 #: Comparisons in a bucket that cost as much as one more visit; weighs large buckets against many tables.
 VISIT = 2000
 SKETCH_BITS = 128
+#: Greatest probability that the sketches of two vectors at the similarity bound differ in more bits than the filter lets pass.
+SKETCH_MISS = 0.003
 #: Rows of one bucket that one task compares; larger buckets are split into pairs of blocks.
 BLOCK = 20_000
 #: The list of split buckets has at most this many entries at any size, as BLOCK grows with the rows beyond it.
@@ -52,6 +54,17 @@ def perturbations(projections: int, probes: int) -> list[tuple[int, ...]]:
     return [s for _, s in sorted(sets)[:probes]]
 
 
+def sketch_limit(similarity: float) -> int:
+    """The least number of differing bits that two vectors of this cosine exceed with probability SKETCH_MISS at most."""
+    angle = math.acos(min(1.0, max(-1.0, similarity))) / math.pi  # each bit differs with this probability
+    within = 0.0
+    for bits in range(SKETCH_BITS + 1):
+        within += math.comb(SKETCH_BITS, bits) * angle**bits * (1 - angle) ** (SKETCH_BITS - bits)
+        if within >= 1 - SKETCH_MISS:
+            return bits
+    return SKETCH_BITS
+
+
 @lru_cache(maxsize=256)
 def meeting(projections: int, probes: int, similarity: float, pairs: int = 20_000) -> float:
     """The probability that two unit vectors of this cosine meet in one table: one visits the other's own bucket.
@@ -198,8 +211,7 @@ def candidate_pairs(df: DataFrame, min_similarity: float, projections: int, prob
                     rows, mine, key = (np.concatenate(p) for p in zip(*pieces))
                 yield pd.DataFrame({"bucket": key, "space": space[rows], "id": ids[rows], "place": mine * 2 + int(home), "s0": sketch[rows, 0], "s1": sketch[rows, 1]})
 
-    angle = math.acos(min_similarity) / math.pi
-    limit = math.ceil(SKETCH_BITS * angle + 1.8 * math.sqrt(SKETCH_BITS * angle * (1 - angle)))
+    limit = sketch_limit(min_similarity)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in whole_groups(batches, "bucket"):
@@ -231,6 +243,8 @@ def similar_vectors(df: DataFrame, space: str, id_: str, vector: str, k: int = 1
     grow, so that pairs at `min_similarity` meet with probability MEET at any
     size, nearer ones more often; visits a vector grow instead (at a bound of 0.9
     12 at 35,000 rows a space, 24 at 350,000, 34 at 3.5 million, 76 at 30 million).
+    The sketch is the same in all tables: a pair at `min_similarity` that meets
+    fails its filter with probability SKETCH_MISS at most, nearer ones less.
 
     Null, all-zero, non-finite and wrong-length vectors, null ids and null
     spaces are left out; a repeated row counts once; further columns are

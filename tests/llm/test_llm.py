@@ -162,6 +162,18 @@ def test_candidates_at_the_layout_of_millions_of_rows(spark):
     assert pairs.where("b = a + 400").count() >= 0.95 * 400
 
 
+def test_sketch_filter_keeps_pairs_at_the_bound(spark):
+    rng = np.random.default_rng(8)
+    a, other = rng.normal(size=(2, 4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    other -= (other * a).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + (1 - 0.9**2) ** 0.5 * other / np.linalg.norm(other, axis=1, keepdims=True)
+    rows = [(1, i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))]
+    df = spark.createDataFrame(rows, "space long, id long, vector array<float>")
+    pairs = p3.candidate_pairs(df, 0.9, 0, 0, 1, p3.BLOCK, 64)  # one bucket: only the sketch can lose a pair
+    assert pairs.where("b = a + 4000").count() >= 0.995 * 4000
+
+
 def test_search_reaches_its_recall(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 64))
