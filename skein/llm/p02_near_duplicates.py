@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 from skein.llm._groups import block_keys, mix, runs, whole_groups
 from skein.session import cut
 
-#: Signature layout: BANDS bands of ROWS registers. A pair shares a band with probability 0.96 at similarity 0.6, 0.991 at 0.65, 0.9987 at 0.7, 0.99998 at 0.8.
-BANDS, ROWS = 24, 4
-#: Of 64 registers one bit travels with each band; pairs that differ in more bits are no candidates (similarity 0.6: 12.8 expected, deviation 3.2).
-SKETCH, MOST_DIFFERENT = 64, 24
+#: Signature layout: bands of ROWS registers, at least BANDS, as many as a pair at the threshold needs to share one but for BAND_MISS.
+BANDS, ROWS, BAND_MISS = 24, 4, 0.008
+#: Of SKETCH registers one bit travels with each band; pairs that differ in more than MOST_DIFFERENT bits, and more than all but SKETCH_MISS of those at the threshold, are no candidates.
+SKETCH, MOST_DIFFERENT, SKETCH_MISS = 64, 24, 0.002
 #: Records of one band bucket that one task compares; larger buckets are split into pairs of blocks.
 BLOCK = 20_000
 #: Buckets are found to be large on one record in SAMPLE; this only spreads work and changes no result.
@@ -23,6 +24,17 @@ SAMPLE = 50
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def layout_for(threshold: float) -> tuple[int, int]:
+    """(bands, differing sketch bits let pass): a pair at the threshold is lost with probability BAND_MISS + SKETCH_MISS at most."""
+    bands = BANDS if threshold >= 1 else max(BANDS, math.ceil(math.log(BAND_MISS) / math.log(1 - threshold**ROWS)))
+    differ, within = (1 - threshold) / 2, 0.0  # registers that disagree give different bits half the time
+    for most in range(SKETCH + 1):
+        within += math.comb(SKETCH, most) * differ**most * (1 - differ) ** (SKETCH - most)
+        if within >= 1 - SKETCH_MISS:
+            break
+    return bands, max(MOST_DIFFERENT, most)
+
+
 def prob_minhash(elements: np.ndarray, record: np.ndarray, records: int, registers: int, weights: np.ndarray | None = None) -> np.ndarray:
     """(records, registers) uint64 signatures; two records agree in a register with their probability Jaccard similarity.
 
@@ -70,8 +82,8 @@ def shingle_set(words: Column, size: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(F.slice(words, i, size))))
 
 
-def _signatures(size: int):
-    registers = BANDS * ROWS
+def _signatures(size: int, count: int):
+    registers = max(SKETCH, count * ROWS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -90,9 +102,9 @@ def _signatures(size: int):
                     h = mix(h * _GOLDEN + w[j : len(w) - size + 1 + j])
                 whole = record[: len(h)] == record[size - 1 :]
                 signature = prob_minhash(h[whole], record[: len(h)][whole], len(t), registers)
-                bands = np.zeros((len(t), BANDS), dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+                bands = np.zeros((len(t), count), dtype=np.uint64) + np.arange(1, count + 1, dtype=np.uint64)
                 for j in range(ROWS):
-                    bands = mix(bands * _GOLDEN + signature[:, j::ROWS])
+                    bands = mix(bands * _GOLDEN + signature[:, j : count * ROWS : ROWS])
                 bits = (mix(signature[:, :SKETCH]) & np.uint64(1)).astype(np.uint8)
                 sketch = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)[:, 0]
                 starts = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -119,28 +131,32 @@ def _split(large: dict[int, int]):
     return run
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The pairs of records of each band bucket whose sketches are near."""
-    for t in whole_groups(batches, "band"):
-        ids, block, sketch = t["id"].to_numpy(), t["block"].to_numpy(), t["sketch"].to_numpy().view(np.uint64)
-        starts, ends = runs(t["band"].to_numpy())
-        two = ends - starts == 2
-        left, right = [starts[two]], [starts[two] + 1]
-        near = np.bitwise_count(sketch[left[0]] ^ sketch[right[0]]) <= MOST_DIFFERENT
-        left[0], right[0] = left[0][near], right[0][near]
-        for start, end in zip(starts[~two], ends[~two]):
-            step = max(1, 4_000_000 // (end - start))
-            for at in range(start, end, step):
-                x = np.arange(at, min(at + step, end))
-                i, j = np.nonzero(np.bitwise_count(sketch[x][:, None] ^ sketch[None, start:end]) <= MOST_DIFFERENT)
-                i, j = x[i], start + j
-                keep = i < j
-                if block[start:end].any():
-                    keep &= (block[i] != block[j]) | (block[start:end].min() == block[start:end].max())
-                left.append(i[keep])
-                right.append(j[keep])
-        a, b = ids[np.concatenate(left)], ids[np.concatenate(right)]
-        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).query("a != b").drop_duplicates()
+def _candidates(most: int):
+    """The pairs of records of each band bucket whose sketches differ in at most `most` bits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in whole_groups(batches, "band"):
+            ids, block, sketch = t["id"].to_numpy(), t["block"].to_numpy(), t["sketch"].to_numpy().view(np.uint64)
+            starts, ends = runs(t["band"].to_numpy())
+            two = ends - starts == 2
+            left, right = [starts[two]], [starts[two] + 1]
+            near = np.bitwise_count(sketch[left[0]] ^ sketch[right[0]]) <= most
+            left[0], right[0] = left[0][near], right[0][near]
+            for start, end in zip(starts[~two], ends[~two]):
+                step = max(1, 4_000_000 // (end - start))
+                for at in range(start, end, step):
+                    x = np.arange(at, min(at + step, end))
+                    i, j = np.nonzero(np.bitwise_count(sketch[x][:, None] ^ sketch[None, start:end]) <= most)
+                    i, j = x[i], start + j
+                    keep = i < j
+                    if block[start:end].any():
+                        keep &= (block[i] != block[j]) | (block[start:end].min() == block[start:end].max())
+                    left.append(i[keep])
+                    right.append(j[keep])
+            a, b = ids[np.concatenate(left)], ids[np.concatenate(right)]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).query("a != b").drop_duplicates()
+
+    return run
 
 
 def near_duplicates(df: DataFrame, id_: str, text: Column, threshold: float = 0.6, size: int = 3, least_words: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -160,19 +176,20 @@ def near_duplicates(df: DataFrame, id_: str, text: Column, threshold: float = 0.
     """
     if threshold < 0.5:
         raise ValueError("the signature layout is made for thresholds of at least 0.5")
+    bands, most = layout_for(threshold)
     kind = df.schema[id_].dataType.simpleString()
     rows = df.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), word_hashes(text).alias("words")).where(F.size("words") >= max(least_words, size))
-    signed = cut(rows.mapInPandas(_signatures(size), f"id {kind}, t0 long, t1 long, bands array<long>, sketch long"))
+    signed = cut(rows.mapInPandas(_signatures(size, bands), f"id {kind}, t0 long, t1 long, bands array<long>, sketch long"))
     least = signed.groupBy("t0", "t1").agg(F.min("id").alias("class"))
     members = signed.select("id", "t0", "t1").join(least, ["t0", "t1"]).select("id", "class").distinct()
     one_each = signed.groupBy("t0", "t1").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"), F.min_by("sketch", "id").alias("sketch"))
-    block = max(BLOCK, BANDS * signed.count() // 100_000)  # so that the list of large buckets has a bound at any size
+    block = max(BLOCK, bands * signed.count() // 100_000)  # so that the list of large buckets has a bound at any size
     sampled = signed.where(F.pmod(F.xxhash64("t0", "t1"), F.lit(SAMPLE)) == 0).dropDuplicates(["t0", "t1"]).select(F.explode("bands").alias("band"))
     large = {r[0]: -(-r[1] * SAMPLE // block) for r in sampled.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block // SAMPLE // 2).collect()}
     banded = one_each.select(F.explode("bands").alias("band"), "id", F.lit(0).alias("block"), "sketch")
     if large:
         banded = banded.mapInPandas(_split(large), banded.schema)
-    pairs = cut(banded.repartition("band").sortWithinPartitions("band").mapInPandas(_candidates, f"a {kind}, b {kind}").distinct())
+    pairs = cut(banded.repartition("band").sortWithinPartitions("band").mapInPandas(_candidates(most), f"a {kind}, b {kind}").distinct())
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", shingle_set(F.col("words"), size).alias("set"))
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")

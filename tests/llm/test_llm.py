@@ -100,6 +100,17 @@ def test_split_buckets_lose_nothing(spark, edited, monkeypatch):
     assert rows_of(p2.all_pairs(*p2.near_duplicates(df, "id", F.col("text")))) == whole
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.6])
+def test_pairs_at_the_threshold_are_found(spark, threshold):
+    own = 24 if threshold == 0.5 else 15
+    shared, rows = (2 * own if threshold == 0.5 else 3 * own), []
+    for i in range(800):
+        common = [f"c{i}x{j}" for j in range(shared)]
+        rows += [(2 * i + k, " ".join(common + [f"u{i}x{k}x{j}" for j in range(own)])) for k in (0, 1)]
+    links, _ = p2.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", F.col("text"), threshold, size=1)
+    assert links.where("b = a + 1").count() >= 0.98 * 800
+
+
 def test_prob_minhash_estimates_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 300).astype(np.uint64)
