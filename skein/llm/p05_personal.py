@@ -32,10 +32,11 @@ ROUNDS = 6
 #: Weights from which fitting starts, for signs that a sample may lack: (feature, label, weight).
 PRIOR = (("before:thing", 0, 6.0), ("label:other", 0, 2.0))
 
-_AT = r"(?:\s?@\s?|＠|&#64;|\s?\(at\)\s?|\s?\[at\]\s?|\s?\{at\}\s?|\s(?:at|AT)\s)"
+_AT = r"(?:\s?@\s?|＠|&#64;|\s?\((?i:at)\)\s?|\s?\[(?i:at)\]\s?|\s?\{(?i:at)\}\s?|\s(?:at|AT)\s)"
 _DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\s(?:dot|DOT)\s)"
 _MAIL = re.compile(rf"[\w+%-]+(?:{_DOT}[\w+%-]+)*{_AT}(?:[\w-]+{_DOT})+[^\W\d_]{{2,}}(?![\w@])")
-_MAIL_SIGN = re.compile(r"@|＠|&#64;|[(\[{]at[)\]}]| (?:at|AT) \S+?(?:\.| dot | DOT |\s?[\[(]dot)")
+_MAIL_SIGN = re.compile(r"@|＠|&#64;|[(\[{](?i:at)[)\]}]| (?:at|AT) \S+?(?:\.| dot | DOT |\s?[\[(]dot)")
+_MAIL_REST = re.compile(rf"\s?(?:[\w-]|{_DOT})*")
 #: Shapes of written phone numbers (international, 00, bracketed area, national trunk 0, three-three-four).
 def _phone_pattern(gap: str) -> re.Pattern:
     return re.compile(
@@ -218,6 +219,17 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
 
+def _mail_at(text: str, sign: re.Match, least: int) -> re.Match | None:
+    """The mail address around a sign, not before `least`; the stretch searched goes on as far as address characters do."""
+    high, before = min(len(text), max(sign.end() + 120, _MAIL_REST.match(text, sign.end()).end() + 1)), 80
+    while True:
+        low = max(least, sign.start() - before)
+        m = next((m for m in _MAIL.finditer(text, low, high) if m.end() > sign.start()), None)
+        if m is None or m.start() > low + 10 or low == least:  # a dot that is written out takes fewer than ten characters
+            return m
+        before *= 2
+
+
 def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
     """The candidates of a text in order, without overlaps, each with its features."""
     out: list[Candidate] = []
@@ -232,18 +244,16 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
         out.append(Candidate(start, end, label, form, [f"is:{LABELS[label]}", *features]))
 
     low = text.lower()
-    if "@" in text or "＠" in text or "&#64;" in text or " at " in low or "at)" in low or "at]" in low:
+    if "@" in text or "＠" in text or "&#64;" in text or " at " in low or "at)" in low or "at]" in low or "at}" in low:
         at = 0
         for sign in _MAIL_SIGN.finditer(text):
             if sign.start() < at:
                 continue
-            for m in _MAIL.finditer(text, max(at, sign.start() - 80), min(len(text), sign.end() + 120)):
-                if m.end() > sign.start():
-                    if m.start() < sign.end() <= m.end() + 1:
-                        written = m.group(0)
-                        add(m.start(), m.end(), EMAIL, written.lower(), "plain" if "@" in written and " " not in written else "hidden", "end:dot" if "." in written.rpartition("@")[2] else "end:word")
-                        at = m.end()
-                    break
+            m = _mail_at(text, sign, at)
+            if m and m.start() < sign.end() <= m.end() + 1:
+                written = m.group(0)
+                add(m.start(), m.end(), EMAIL, written.lower(), "plain" if "@" in written and " " not in written else "hidden", "end:dot" if "." in written.rpartition("@")[2] else "end:word")
+                at = m.end()
 
     if "\n" in text or any(c.isdigit() for c in text):
         for m in _ID_LABEL.finditer(text) if any(x in low for x in _ID_SIGNS) else ():

@@ -257,6 +257,16 @@ def test_personal(finder, text, expected):
     assert [(k, text[a:b]) for k, a, b in finder([text])[0]] == expected
 
 
+@pytest.mark.parametrize("address", [
+    "anna{at}example.org", "anna(AT)example.org", "anna [AT] example.org", "anna{At}example.org",
+    " dot ".join(f"part{i}" for i in range(30)) + " (at) example.org", "a" * 200 + "@example.org", "anna@" + ".".join(f"part{i}" for i in range(40)) + ".org",
+])
+def test_addresses_of_every_sign_and_length(address):
+    text = f"Please write to: {address}, thanks."
+    found = [c for c in p5.candidates(text, lambda w: (0, 0)) if c.label == p5.EMAIL]
+    assert [text[c.start : c.end] for c in found] == [address]
+
+
 def test_skip_links_reach_equal_tokens(finder):
     text = "Dear Anna,\n" + "filler words here. " * 40 + "Anna"
     assert [k for k, _, _ in finder([text])[0]] == ["name", "name"]
