@@ -411,6 +411,16 @@ def test_residue(spark):
 # shared parts
 
 
+def test_residue_of_short_lines_and_long_fields():
+    prose = ["We met on Monday and went through the plan for the next weeks.", "Please send me the report when you have it, thanks a lot."] * 30
+    run = p10.Detector(prose)
+    for field in ("{{customer.profile.billing.address.postal_code}}", "{{ name | title }}", "${customer.profile.billing.address.postal_code}"):
+        assert [k for k, _, _ in run(f"Dear {field}, the plan is ready.")] == ["placeholder"]
+    text = "We met on Monday and went through the plan.\n\nPlatzhaltertext\n\nPlease send me the report when you have it."
+    assert [(k, n) for k, n, _ in run(text)] == [("filler", 15)]
+    assert run("We met on Monday and went through the plan. Please send it. Thanks.") == []
+
+
 def test_whole_groups():
     import pandas as pd
 
