@@ -419,6 +419,7 @@ def test_residue_of_short_lines_and_long_fields():
     text = "We met on Monday and went through the plan.\n\nPlatzhaltertext\n\nPlease send me the report when you have it."
     assert [(k, n) for k, n, _ in run(text)] == [("filler", 15)]
     assert run("We met on Monday and went through the plan. Please send it. Thanks.") == []
+    assert run("Ruvu,\n\nPlease send me the report when you have it, thanks a lot.") == []
 
 
 def test_whole_groups():
