@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skein.operators.distributed_rank import midranks
+from skein.llm._ranks import midranks
+
+#: The share of each list, from its top, in which a list supports an item.
+SUPPORT = 0.4
+
+
+def _power(x: Column, n: int) -> Column:
+    return reduce(lambda a, b: a * b, [x] * n) if n else F.lit(1.0)
 
 
 def order_statistic_probability(rank: Column, k: int, n: int) -> Column:
     """P(the k-th smallest of n uniform ranks is at most `rank`): the beta(k, n-k+1) distribution."""
-    total = F.lit(0.0)
-    for j in range(k, n + 1):
-        total = total + F.lit(float(comb(n, j))) * F.pow(rank, F.lit(j)) * F.pow(F.lit(1.0) - rank, F.lit(n - j))
-    return total
+    terms = [F.lit(float(comb(n, j))) * _power(rank, j) * _power(F.lit(1.0) - rank, n - j) for j in range(k, n + 1)]
+    return reduce(lambda a, b: a + b, terms)
 
 
 def aggregate_ranks(
@@ -24,28 +31,29 @@ def aggregate_ranks(
     group: str = "query_id",
     item: str = "rowid",
     absent: tuple[float, ...] = (0.0,),
-    min_support: int | None = None,
+    support: float = SUPPORT,
 ) -> DataFrame:
-    """(group, item, significance, mean_rank): the significance of each item's place in the lists.
+    """(group, item, supported, significance, mean_rank): the significance of each item's place in the lists.
 
     Each score becomes a normalised rank in its group (ties share the mean
     rank), so that its scale and spread have no influence. An item's sorted
     ranks r(1) <= ... <= r(n) are compared with those of n random lists: the
-    beta probability of each order statistic, the least of those from
-    `min_support` on, times their number (Bonferroni), at most 1. Small is
-    significant. `min_support` is the number of lists that must place an item
-    high; 1 is the classical rule in which one excellent rank is enough, the
-    default is all lists, so that every score counts alike.
+    significance is the least of the n beta probabilities of its order
+    statistics times n (Bonferroni), at most 1. Small is significant.
+
+    The minimum alone lets one excellent rank outweigh any other. `supported`
+    therefore tells whether every list places the item in its best `support`
+    (a share); supported items stand before all others in a ranking, and
+    `support` = 1 gives the classical order.
 
     Null, NaN and the values in `absent` mean that a list lacks the item: rank
     1.0. Repeated rows count once (if they differ, the best of each score
     counts). Rows with a null group or item are dropped. An empty table gives
     an empty result. Further columns are ignored.
     """
+    if not scores or not 0 < support <= 1:
+        raise ValueError("at least one score, and a support above 0 and up to 1")
     n = len(scores)
-    support = n if min_support is None else min_support
-    if not 1 <= support <= n:
-        raise ValueError("min_support lies between 1 and the number of scores")
     gone = lambda c: c.isNull() | F.isnan(c) | c.isin(*absent) if absent else c.isNull() | F.isnan(c)
     rows = (
         candidates.where(F.col(group).isNotNull() & F.col(item).isNotNull())
@@ -58,13 +66,13 @@ def aggregate_ranks(
     ranked = midranks(long, ["_g", "_list"], "_score", "_rank").join(sizes, "_g")
     normal = F.coalesce(F.col("_rank") / F.col("_size"), F.lit(1.0))
     items = ranked.groupBy("_g", "_i").agg(F.array_sort(F.collect_list(normal)).alias("_r"), F.avg(normal).alias("mean_rank"))
-    tests = [order_statistic_probability(F.col("_r")[k - 1], k, n) for k in range(support, n + 1)]
-    least = F.least(*tests) if len(tests) > 1 else tests[0]
-    return items.select(F.col("_g").alias(group), F.col("_i").alias(item), F.least(F.lit(1.0), least * len(tests)).alias("significance"), "mean_rank")
+    tests = [order_statistic_probability(F.col("_r")[k - 1], k, n) for k in range(1, n + 1)]
+    least = F.least(*tests) if n > 1 else tests[0]
+    return items.select(F.col("_g").alias(group), F.col("_i").alias(item), (F.col("_r")[n - 1] <= support).alias("supported"), F.least(F.lit(1.0), least * n).alias("significance"), "mean_rank")
 
 
 def _order(item: str) -> list[Column]:
-    return [F.asc("significance"), F.asc("mean_rank"), F.asc(item)]
+    return [F.desc("supported"), F.asc("significance"), F.asc("mean_rank"), F.asc(item)]
 
 
 def top_places(ranked: DataFrame, wanted: DataFrame, group: str = "query_id", item: str = "rowid", places: str = "top_n") -> DataFrame:
@@ -83,9 +91,17 @@ def top_places(ranked: DataFrame, wanted: DataFrame, group: str = "query_id", it
 def full_ranking(ranked: DataFrame, group: str = "query_id", item: str = "rowid") -> DataFrame:
     """Every item with its `position` from 1 in its group; groups of any size are sorted by many tasks.
 
-    The order of significance, then of mean rank among equals, then of id.
+    Supported items first, then the order of significance, then of mean rank
+    among equals, then of id. Numeric ids are ranked like scores, so that even
+    a group of equals is no hot task; ids of another type are sorted by one
+    task a group of equals.
     """
-    keyed = ranked.withColumns({"_s": -F.col("significance"), "_m": -F.col("mean_rank")})
-    placed = midranks(midranks(keyed, [group], "_s", "_a", first=True), [group, "_s"], "_m", "_b", first=True)
-    last = F.row_number().over(Window.partitionBy(group, "_s", "_m").orderBy(F.asc(item)))
-    return placed.withColumn("position", (F.col("_a") + F.col("_b") + last - 2).cast("long")).select(group, item, "significance", "mean_rank", "position")
+    before = ranked.groupBy(group).agg(F.sum(F.col("supported").cast("long")).alias("_first"))
+    keyed = ranked.join(before, group).withColumns({"_s": -F.col("significance"), "_m": -F.col("mean_rank"), "_first": F.when(F.col("supported"), F.lit(0)).otherwise(F.col("_first"))})
+    placed = midranks(midranks(keyed, [group, "supported"], "_s", "_a", first=True), [group, "supported", "_s"], "_m", "_b", first=True)
+    equal = [group, "supported", "_s", "_m"]
+    if isinstance(ranked.schema[item].dataType, T.IntegralType):
+        placed = midranks(placed.withColumn("_id", -F.col(item)), equal, "_id", "_c", first=True)
+    else:
+        placed = placed.withColumn("_c", F.row_number().over(Window.partitionBy(*equal).orderBy(F.asc(item))))
+    return placed.withColumn("position", (F.col("_first") + F.col("_a") + F.col("_b") + F.col("_c") - 2).cast("long")).select(group, item, "supported", "significance", "mean_rank", "position")

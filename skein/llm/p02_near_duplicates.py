@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm._groups import block_keys, mix, runs, whole_groups
-from skein.session import cut
+from skein.llm._cut import cut
 
 #: Signature layout: bands of ROWS registers, at least BANDS, as many as a pair at the threshold needs to share one but for BAND_MISS.
 BANDS, ROWS, BAND_MISS = 24, 4, 0.008

@@ -27,7 +27,7 @@ def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
     from skein.llm.p01_rank_aggregation import aggregate_ranks, full_ranking
 
     ranked = full_ranking(aggregate_ranks(table(spark, d, "hybrid_candidates"), ["text_score", "vector_score"]))
-    return ranked.select("query_id", "rowid", "position", F.round("significance", 9).alias("significance"))
+    return ranked.select("query_id", "rowid", "position", "supported", F.round("significance", 9).alias("significance"))
 
 
 def _near(spark: SparkSession, d: str):
@@ -181,12 +181,16 @@ normal AS (
          CASE WHEN t IS NULL THEN 1.0::DOUBLE ELSE (rank() OVER (PARTITION BY query_id ORDER BY t DESC NULLS LAST) + (count(*) OVER (PARTITION BY query_id, t) - 1) / 2.0::DOUBLE)::DOUBLE / count(*) OVER q END AS a,
          CASE WHEN v IS NULL THEN 1.0::DOUBLE ELSE (rank() OVER (PARTITION BY query_id ORDER BY v DESC NULLS LAST) + (count(*) OVER (PARTITION BY query_id, v) - 1) / 2.0::DOUBLE)::DOUBLE / count(*) OVER q END AS b
   FROM rows WINDOW q AS (PARTITION BY query_id)),
-ranked AS (SELECT query_id, rowid, greatest(a, b) * greatest(a, b) AS significance,
-           row_number() OVER (PARTITION BY query_id ORDER BY greatest(a, b), a + b, rowid) AS position FROM normal)
+tests AS (
+  SELECT query_id, rowid, a + b AS total, greatest(a, b) <= 0.4 AS supported,
+         2.0::DOUBLE * least(a, b) * (1.0::DOUBLE - least(a, b)) + least(a, b) * least(a, b) AS first_of_two, greatest(a, b) * greatest(a, b) AS second_of_two FROM normal),
+signified AS (SELECT query_id, rowid, supported, total, least(1.0::DOUBLE, 2.0::DOUBLE * least(first_of_two, second_of_two)) AS significance FROM tests),
+ranked AS (SELECT query_id, rowid, supported, significance,
+           row_number() OVER (PARTITION BY query_id ORDER BY supported DESC, significance, total, rowid) AS position FROM signified)
 """
 ORACLE: dict[str, str] = {
     "p1_found": f"WITH {_RANKS} SELECT r.query_id, r.rowid FROM ranked r JOIN (SELECT query_id, max(top_n) AS n FROM hybrid_queries GROUP BY query_id) q USING (query_id) WHERE position <= n",
-    "p1_ranking": f"WITH {_RANKS} SELECT query_id, rowid, position, round(least(significance, 1), 9) AS significance FROM ranked",
+    "p1_ranking": f"WITH {_RANKS} SELECT query_id, rowid, position, supported, round(significance, 9) AS significance FROM ranked",
     "p4_found": f"WITH {_TURNS} SELECT sessionId, number - first AS position, rowid FROM chat JOIN kept USING (sessionId)",
     "p4_conversations": f"WITH {_TURNS} SELECT sessionId, number - first AS position, rowid, role, content FROM chat JOIN kept USING (sessionId)",
     "p2_found": r"""

@@ -45,11 +45,36 @@ def test_rank_aggregation(spark):
     assert {(r.query_id, r.rowid) for r in top_places(ranked, wanted).collect()} == {(q, i) for q in (1, 2) for i in range(4)}
     full = full_ranking(ranked).where("query_id = 1").orderBy("position").collect()
     assert [r.position for r in full] == list(range(1, 41)) and {r.rowid for r in full[:4]} == {0, 1, 2, 3}
-    classic = aggregate_ranks(df, ["text_score", "vector_score"], min_support=1)
-    assert classic.where("query_id = 1 and rowid = 10").first().significance < ranked.where("query_id = 1 and rowid = 10").first().significance
+    classic = aggregate_ranks(df, ["text_score", "vector_score"], support=1.0)
+    place = lambda r: full_ranking(r).where("query_id = 1 and rowid = 10").first().position
+    assert place(classic) < place(ranked)  # one excellent rank is enough there
+    assert not ranked.where("query_id = 1 and rowid = 10").first().supported
     assert aggregate_ranks(df.limit(0), ["text_score", "vector_score"]).count() == 0
     with pytest.raises(ValueError):
-        aggregate_ranks(df, ["text_score"], min_support=2)
+        aggregate_ranks(df, ["text_score"], support=0)
+
+
+def test_rank_significance_is_the_corrected_minimum(spark):
+    """Against a simulation of random lists, with three scores; an item's minimum may lie at any order statistic."""
+    rng = np.random.default_rng(4)
+    n = 50
+    scores = rng.normal(size=(n, 3))
+    df = spark.createDataFrame([(1, i, *map(float, s)) for i, s in enumerate(scores)], "query_id long, rowid long, a double, b double, c double")
+    got = {r.rowid: r.significance for r in aggregate_ranks(df, ["a", "b", "c"]).collect()}
+    ranks = (np.argsort(np.argsort(-scores, axis=0), axis=0) + 1) / n
+    random_lists = np.sort(rng.uniform(size=(200_000, 3)), axis=1)
+    at = set()
+    for i in range(n):
+        tests = [(random_lists[:, k] <= np.sort(ranks[i])[k]).mean() for k in range(3)]
+        at.add(int(np.argmin(tests)))
+        assert abs(min(1, 3 * min(tests)) - got[i]) < 0.01
+    assert at == {0, 1, 2}
+
+
+def test_equal_items_are_ordered_by_id(spark):
+    df = spark.createDataFrame([(1, i, 0.0, None) for i in range(500)], "query_id long, rowid long, text_score double, vector_score double")
+    full = full_ranking(aggregate_ranks(df, ["text_score", "vector_score"])).orderBy("position").collect()
+    assert [r.rowid for r in full] == list(range(500)) and [r.position for r in full] == list(range(1, 501))
 
 
 # 2
