@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm._groups import block_keys, mix, runs, whole_groups
+from skein.llm import _spread
+from skein.llm._spread import hot_keys, in_every_block, in_own_block
 from skein.llm._cut import cut
 
 #: Signature layout: bands of ROWS registers, at least BANDS, as many as a pair at the threshold needs to share one but for BAND_MISS.
@@ -19,6 +21,10 @@ BANDS, ROWS, BAND_MISS = 24, 4, 0.008
 SKETCH, MOST_DIFFERENT, SKETCH_MISS = 64, 24, 0.002
 #: Records of one band bucket that one task compares; larger buckets are split into pairs of blocks.
 BLOCK = 20_000
+#: Pairs of a bucket that a task holds at a time, and rows of buckets that it is given on average.
+SLICE, TASK_ROWS = 1_000_000, 1_000_000
+#: Large buckets up to this number are broadcast, more are joined by shuffling.
+MOST_BROADCAST = 100_000
 #: Buckets are found to be large on one record in SAMPLE; this only spreads work and changes no result.
 SAMPLE = 50
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -116,34 +122,32 @@ def _signatures(size: int, count: int):
     return run
 
 
-def _split(large: dict[int, int]):
+def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Copies of the rows of large buckets, one for each pair of blocks they take part in."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = np.array(sorted(large), dtype=np.int64)
-        for t in batches:
-            hot = np.isin(t["band"].to_numpy(), names)
-            yield t[~hot]
-            for band, id_, _, sketch in t[hot].itertuples(index=False):
-                own, keys = block_keys(band, id_, large[band])
-                yield pd.DataFrame({"band": keys, "id": id_, "block": np.int32(own), "sketch": sketch})
-
-    return run
+    for t in batches:
+        for band, id_, sketch, blocks in t.itertuples(index=False):
+            own, keys = block_keys(band, id_, blocks)
+            yield pd.DataFrame({"band": keys, "id": id_, "block": np.int32(own), "sketch": sketch})
 
 
 def _candidates(most: int):
-    """The pairs of records of each band bucket whose sketches differ in at most `most` bits."""
+    """The pairs of records of each band bucket whose sketches differ in at most `most` bits, a slice of a bucket at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in whole_groups(batches, "band"):
             ids, block, sketch = t["id"].to_numpy(), t["block"].to_numpy(), t["sketch"].to_numpy().view(np.uint64)
+
+            def frame(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+                a, b = ids[i], ids[j]
+                return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).query("a != b").drop_duplicates()
+
             starts, ends = runs(t["band"].to_numpy())
             two = ends - starts == 2
-            left, right = [starts[two]], [starts[two] + 1]
-            near = np.bitwise_count(sketch[left[0]] ^ sketch[right[0]]) <= most
-            left[0], right[0] = left[0][near], right[0][near]
+            i = starts[two]
+            near = np.bitwise_count(sketch[i] ^ sketch[i + 1]) <= most
+            left, right, held = [i[near]], [i[near] + 1], int(near.sum())
             for start, end in zip(starts[~two], ends[~two]):
-                step = max(1, 4_000_000 // (end - start))
+                step = max(1, SLICE // (end - start))
                 for at in range(start, end, step):
                     x = np.arange(at, min(at + step, end))
                     i, j = np.nonzero(np.bitwise_count(sketch[x][:, None] ^ sketch[None, start:end]) <= most)
@@ -153,8 +157,12 @@ def _candidates(most: int):
                         keep &= (block[i] != block[j]) | (block[start:end].min() == block[start:end].max())
                     left.append(i[keep])
                     right.append(j[keep])
-            a, b = ids[np.concatenate(left)], ids[np.concatenate(right)]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).query("a != b").drop_duplicates()
+                    held += int(keep.sum())
+                    if held >= SLICE:
+                        yield frame(np.concatenate(left), np.concatenate(right))
+                        left, right, held = [], [], 0
+            if held:
+                yield frame(np.concatenate(left), np.concatenate(right))
 
     return run
 
@@ -180,16 +188,25 @@ def near_duplicates(df: DataFrame, id_: str, text: Column, threshold: float = 0.
     kind = df.schema[id_].dataType.simpleString()
     rows = df.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), word_hashes(text).alias("words")).where(F.size("words") >= max(least_words, size))
     signed = cut(rows.mapInPandas(_signatures(size, bands), f"id {kind}, t0 long, t1 long, bands array<long>, sketch long"))
-    least = signed.groupBy("t0", "t1").agg(F.min("id").alias("class"))
-    members = signed.select("id", "t0", "t1").join(least, ["t0", "t1"]).select("id", "class").distinct()
+    texts = signed.groupBy("t0", "t1").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n"))
+    frequent = F.broadcast(texts.where(F.col("n") > _spread.HOT).drop("n"))  # at most rows / HOT
+    keyed = signed.select("id", "t0", "t1")
+    rare = keyed.join(frequent, ["t0", "t1"], "left_anti").join(texts, ["t0", "t1"]).select("id", "class")
+    members = cut(rare.unionByName(keyed.join(frequent, ["t0", "t1"]).select("id", "class")).distinct())
     one_each = signed.groupBy("t0", "t1").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"), F.min_by("sketch", "id").alias("sketch"))
-    block = max(BLOCK, bands * signed.count() // 100_000)  # so that the list of large buckets has a bound at any size
     sampled = signed.where(F.pmod(F.xxhash64("t0", "t1"), F.lit(SAMPLE)) == 0).dropDuplicates(["t0", "t1"]).select(F.explode("bands").alias("band"))
-    large = {r[0]: -(-r[1] * SAMPLE // block) for r in sampled.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block // SAMPLE // 2).collect()}
+    sizes = sampled.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK // SAMPLE // 2)
+    large = cut(sizes.select("band", F.ceil(F.col("n") * SAMPLE / BLOCK).cast("int").alias("blocks")))
+    many = large.count()
     banded = one_each.select(F.explode("bands").alias("band"), "id", F.lit(0).alias("block"), "sketch")
-    if large:
-        banded = banded.mapInPandas(_split(large), banded.schema)
-    pairs = cut(banded.repartition("band").sortWithinPartitions("band").mapInPandas(_candidates(most), f"a {kind}, b {kind}").distinct())
+    if many:
+        large = F.broadcast(large) if many <= MOST_BROADCAST else large
+        whole = banded.join(large, "band", "left_anti")
+        split = banded.join(large, "band").select("band", "id", "sketch", "blocks").mapInPandas(_split, banded.schema)
+        banded = whole.unionByName(split)
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = banded.repartition(max(default, bands * signed.count() // TASK_ROWS), "band").sortWithinPartitions("band")
+    pairs = cut(buckets.mapInPandas(_candidates(most), f"a {kind}, b {kind}").distinct())
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", shingle_set(F.col("words"), size).alias("set"))
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
@@ -199,11 +216,19 @@ def near_duplicates(df: DataFrame, id_: str, text: Column, threshold: float = 0.
 
 
 def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b), a < b: the linked records, copies spelled out."""
-    m = members.select(F.col("class").alias("a"), F.col("id").alias("x"))
-    n = members.select(F.col("class").alias("b"), F.col("id").alias("y"))
-    across = links.select("a", "b").join(m, "a").join(n, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    within = members.alias("p").join(members.alias("q"), (F.col("p.class") == F.col("q.class")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+    """(a, b), a < b: the linked records, copies spelled out.
+
+    That is quadratic in the copies of a text, as its columns demand; classes
+    of more than HOT records are joined in blocks.
+    """
+    hot = cut(hot_keys(members.groupBy("class").agg(F.count(F.lit(1)).alias("n")), "class"))
+    hot_a, hot_b = hot.withColumnRenamed("class", "a"), hot.withColumnRenamed("class", "b")
+    m = in_own_block(members.select(F.col("class").alias("a"), F.col("id").alias("x")), "a", hot_a, "x")
+    n = in_own_block(members.select(F.col("class").alias("b"), F.col("id").alias("y")), "b", hot_b, "y")
+    half = in_every_block(links.select("a", "b"), "a", hot_a).join(m, ["a", "_block"]).select("b", "x")
+    across = in_every_block(half, "b", hot_b).join(n, ["b", "_block"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    p, q = in_own_block(members, "class", hot, "id").alias("p"), in_every_block(members, "class", hot).alias("q")
+    within = p.join(q, (F.col("p.class") == F.col("q.class")) & (F.col("p._block") == F.col("q._block")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
     return across.unionByName(within)
 
 
