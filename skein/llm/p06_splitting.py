@@ -14,11 +14,12 @@ from pyspark.sql import types as T
 SEPARATORS = [
     re.compile(r"(?:\r?\n[ \t]*){3,}|\r?\n(?=#{1,6} )|\r?\n[-=_*]{3,}[ \t]*\r?\n"),  # sections
     re.compile(r"\r?\n[ \t]*\r?\n"),  # paragraphs
-    re.compile(r"[.!?…。！？]+[\"'”’»)\]]*\s+|\r?\n|[。！？]"),  # sentences and lines
+    re.compile(r"(?<![.!?…。！？])[.!?…。！？]++[\"'”’»)\]]*+\s+|\r?\n|[。！？]"),  # sentences and lines
     re.compile(r"\s+"),  # words
 ]
 _WORD = re.compile(r"\s+")
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+#: Characters of pieces that are sent back at a time.
+STRETCH = 5_000_000
 
 
 def _units(text: str, start: int, end: int, limit: int, level: int = 0) -> Iterator[int]:
@@ -72,19 +73,28 @@ def split_texts(df: DataFrame, text: str, keys: list[str], limit: int = 2000, ov
     Joining the pieces without their overlaps gives the text back exactly.
 
     A text within the limit is one piece and never leaves the JVM; an empty
-    text is one empty piece; a null text gives no row. Only the spans come back
-    from Python, pieces are cut from the text in the JVM.
+    text is one empty piece; a null text gives no row. Longer ones are cut in
+    Python, in time in proportion to their length.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap lies between 0 and limit")
+    rows = df.select(*keys, F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(n, T.IntegerType()) for n in ("piece_no", "start", "end")), T.StructField("piece", T.StringType())])
 
-    @F.pandas_udf(SPANS)
-    def spans(texts: pd.Series) -> pd.Series:
-        return pd.Series([split_spans(t, limit, overlap) for t in texts])
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            out: list[tuple] = []
+            held = 0
+            for *own, whole in t.itertuples(index=False, name=None):
+                for i, (a, b) in enumerate(split_spans(whole, limit, overlap)):
+                    out.append((*own, i, a, b, whole[a:b]))
+                    held += b - a
+                    if held > STRETCH:
+                        yield pd.DataFrame(out, columns=schema.names)
+                        out, held = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=schema.names)
 
-    rows = df.select(*keys, F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     long = F.char_length("_text") > limit
-    pieces = lambda x: x.select(*keys, "piece_no", F.col("_span.start").alias("start"), F.col("_span.end").alias("end"), F.expr("substring(_text, _span.start + 1, _span.end - _span.start)").alias("piece"))
     short = rows.where(~long).select(*keys, F.lit(0).alias("piece_no"), F.lit(0).alias("start"), F.char_length("_text").alias("end"), F.col("_text").alias("piece"))
-    cut = pieces(rows.where(long).select(*keys, "_text", F.posexplode(spans("_text")).alias("piece_no", "_span")))
-    return cut.unionByName(short)
+    return rows.where(long).mapInPandas(cut, schema).unionByName(short)
