@@ -16,7 +16,8 @@ from skein.llm import p09_contamination as p9
 from skein.llm import p10_residue as p10
 from skein.llm._groups import runs, whole_groups
 from skein.llm.p01_rank_aggregation import aggregate_ranks, full_ranking, top_places
-from skein.llm.p04_conversations import rebuild
+from skein.llm import _spread
+from skein.llm.p04_conversations import assemble, rebuild
 from skein.llm.p06_splitting import split_spans, split_texts
 
 
@@ -125,6 +126,30 @@ def test_split_buckets_lose_nothing(spark, edited, monkeypatch):
     assert rows_of(p2.all_pairs(*p2.near_duplicates(df, "id", F.col("text")))) == whole
 
 
+def test_a_dense_bucket_is_compared_in_slices():
+    """20,000 records in one bucket, all near one another: 200 million pairs, of which one slice is held at a time."""
+    import resource
+
+    import pandas as pd
+
+    n = 20_000
+    bucket = pd.DataFrame({"band": np.int64(7), "id": np.arange(n), "block": np.int32(0), "sketch": np.int64(5)})
+    before, pairs = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, 0
+    for part in p2._candidates(24)(iter([bucket])):
+        assert len(part) <= 2 * p2.SLICE
+        pairs += len(part)
+    assert pairs == n * (n - 1) // 2
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+
+
+def test_copies_of_a_frequent_text_are_joined_in_blocks(spark, edited, monkeypatch):
+    rows = [(i, edited[0][1]) for i in range(1000, 1060)] + edited
+    df = spark.createDataFrame(rows, "id long, text string")
+    whole = rows_of(p2.all_pairs(*p2.near_duplicates(df, "id", F.col("text"))))
+    monkeypatch.setattr(_spread, "HOT", 7)
+    assert rows_of(p2.all_pairs(*p2.near_duplicates(df, "id", F.col("text")))) == whole and len(whole) > 1770
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.6])
 def test_pairs_at_the_threshold_are_found(spark, threshold):
     own = 24 if threshold == 0.5 else 15
@@ -248,6 +273,51 @@ def test_conversations(spark):
     assert rebuild(a.limit(0), b.limit(0)).count() == 0
 
 
+def test_long_and_hot_chats(spark, monkeypatch):
+    """Chats over many windows, from 0 and from 1, whole and with a gap; one is hot."""
+    sizes = {"a": (0, 200), "b": (1, 34), "c": (1, 16), "d": (0, 16), "e": (0, 18), "f": (1, 2)}
+    rows = [(1000 * k + n, f"chat:{s}:{n}", "user" if (n - low) % 2 == 0 else "assistant", f"m{n}", s) for k, (s, (low, size)) in enumerate(sizes.items()) for n in range(low, low + size)]
+    rows += [(9000 + n, f"chat:gap:{n}", "user" if n % 2 == 0 else "assistant", "m", "gap") for n in range(40) if n not in (16, 17)]
+    rows += [(9500 + n, f"chat:late:{n}", "user" if n % 2 == 0 else "assistant", "m", "late") for n in range(2, 40)]
+    random.Random(5).shuffle(rows)
+    df = spark.createDataFrame(rows, "rowid long, memId string, role string, content string, sessionId string")
+    meta = spark.createDataFrame([], "rowid long, dateMs long, sessionId string, turnIndex long")
+    expected = {(s, n, 1000 * k + low + n) for k, (s, (low, size)) in enumerate(sizes.items()) for n in range(size)}
+    assert rows_of(rebuild(df, meta).select("sessionId", "position", "rowid")) == expected
+    monkeypatch.setattr(_spread, "HOT", 30)
+    assert rows_of(rebuild(df, meta).select("sessionId", "position", "rowid")) == expected
+
+
+def test_overlapping_exports_are_assembled(spark):
+    """Random overlapping stretches of known sequences, repeated and contained ones too; a gap and an ambiguous place."""
+    rng = random.Random(6)
+    fragments = []
+    for s in range(6):
+        whole, at = [s * 1000 + i for i in range(rng.randint(30, 90))], 0
+        while True:
+            end = min(len(whole), at + rng.randint(4, 12))
+            fragments += [whole[at:end]] * rng.choice((1, 1, 2))
+            if end - at > 5:
+                fragments.append(whole[at + 1 : end - 2])
+            if end == len(whole):
+                break
+            at = end - rng.randint(2, 3)
+        if s == 0:
+            lengths = len(whole)
+    fragments += [[9000, 9001, 9002], [9003, 9004]]  # a gap: two paths
+    fragments += [[8000, 8001], [8001, 8002], [8001, 8003]]  # ambiguous
+    rng.shuffle(fragments)
+    df = spark.createDataFrame(list(enumerate(fragments)), "fragment long, messages array<long>")
+    got = assemble(df).collect()
+    paths = {}
+    for r in got:
+        paths.setdefault(r.path, []).append((r.position, r.message))
+    found = sorted([m for _, m in sorted(p)] for p in paths.values())
+    assert len(found) == 8 and found[0] == list(range(lengths)) and found[-2:] == [[9000, 9001, 9002], [9003, 9004]]
+    assert all(p == list(range(p[0], p[0] + len(p))) for p in found) and not any(8000 <= m < 9000 for p in found for m in p)
+    assert assemble(df.limit(0)).count() == 0
+
+
 # 5
 
 
@@ -327,6 +397,21 @@ def test_splitting_round_trip(spark):
     assert all(texts[3][:b].endswith(("\n\n", ". ", "! ")) for _, b in natural)
 
 
+def test_long_texts_take_time_in_proportion(spark):
+    import time
+
+    for text in ("lorem ipsum dolor sit amet. " * 300_000, "." * 8_000_000, "\n---" * 2_000_000):
+        start = time.perf_counter()
+        split_spans(text[: len(text) // 8], 2000, 200)
+        small = time.perf_counter() - start
+        start = time.perf_counter()
+        spans = split_spans(text, 2000, 200)
+        assert time.perf_counter() - start < 24 * small + 1 and spans[-1][1] == len(text)
+    big = spark.createDataFrame([(1, "some words here. " * 400_000)], "id long, text string")
+    pieces = split_texts(big, "text", ["id"])
+    assert pieces.agg(F.max("end")).first()[0] == 17 * 400_000 and pieces.where(F.char_length("piece") > 2000).count() == 0
+
+
 # 7
 
 
