@@ -26,6 +26,8 @@ VISIT, VISIT_INSIDE = 8000, 600
 BLOCK = 50_000
 #: A vector travels to buckets as numbers of BITS bits; its cosines are then wrong by less than MARGIN (more than six deviations, whatever the vector).
 BITS, MARGIN = 6, 0.03
+#: Where a bucket has far more near pairs than the k best of each vector, so many times k by the packed numbers are ranked exactly.
+KEPT = 4
 #: Comparisons that a task holds at a time, and rows of buckets that it is given on average.
 SLICE, TASK_ROWS = 2_000_000, 1_000_000
 #: Tables up to this many rows are broadcast, larger ones are joined by shuffling.
@@ -197,8 +199,8 @@ def unpack(packed: np.ndarray, dims: int) -> np.ndarray:
 
 
 def _pairs_of(x: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of pairs of rows with a cosine of at least `least`; where these are very many, those among the `k` best of one of them."""
-    n = len(x)
+    """Places (i, j) of pairs of rows with a cosine of at least `least`; where these are very many, those among the KEPT * `k` best of one of them."""
+    n, many = len(x), KEPT * k
     step = max(1, SLICE // n)
     left, right, held = [], [], 0
     for at in range(0, n, step):
@@ -207,7 +209,7 @@ def _pairs_of(x: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarr
         left.append(at + i[keep])
         right.append(at + j[keep])
         held += len(left[-1])
-        if held > 16 * k * n:
+        if held > 2 * many * n:
             break
     else:
         return np.concatenate(left), np.concatenate(right)
@@ -216,9 +218,8 @@ def _pairs_of(x: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarr
         s = x[at : at + step] @ x.T
         own = np.arange(len(s))
         s[own, at + own] = -2.0
-        best = np.partition(s, n - k, axis=1)[:, n - k]
-        i, j = np.nonzero(s >= np.maximum(least, best - 2 * MARGIN)[:, None])
-        # of vectors nearer to each other than the packed numbers tell, all are kept
+        best = np.partition(s, n - many, axis=1)[:, n - many]
+        i, j = np.nonzero(s >= np.maximum(least, best)[:, None])
         left.append(at + i)
         right.append(j)
     return np.concatenate(left), np.concatenate(right)
@@ -352,8 +353,9 @@ def similar_vectors(df: DataFrame, space: str, id_: str, vector: str, k: int = 1
 
     Equal vectors are folded first and take each other and the others'
     neighbours from their class, which keeps its k + 1 least ids. In a bucket
-    with very many near pairs each vector keeps its k best, and all that the
-    packed numbers can't tell from them. Buckets beyond BLOCK rows are compared
+    with far more near pairs than that each vector keeps its KEPT * k best by the
+    packed numbers (in a cone of 3,000 vectors at cosine 0.96: all of the ten nearest).
+    Buckets beyond BLOCK rows are compared
     as pairs of blocks in many tasks, completely.
 
     Null, all-zero, non-finite and wrong-length vectors, null ids and null

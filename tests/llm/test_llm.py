@@ -189,26 +189,71 @@ def test_similar_vectors_recall(spark, monkeypatch):
     got = {(r.rowid, r.neighbour) for r in result.collect()}
     assert got <= expected and len(got) >= 0.97 * len(expected)
     monkeypatch.setattr(p3, "BLOCK", 3)
-    monkeypatch.setattr(p3, "MOST_SPLIT", 1 << 40)
+    assert {(r.rowid, r.neighbour) for r in p3.similar_vectors(df, "space", "rowid", "vector").collect()} == got
+    monkeypatch.setattr(p3, "MOST_BROADCAST", 0)
     assert {(r.rowid, r.neighbour) for r in p3.similar_vectors(df, "space", "rowid", "vector").collect()} == got
     assert p3.similar_vectors(df.limit(0), "space", "rowid", "vector").count() == 0
 
 
-@pytest.mark.parametrize("rows", [30_000, 350_000, 3_500_000, 30_000_000])
-def test_recall_does_not_fall_with_size(rows):
+@pytest.mark.parametrize("hot", [100_000, 6])
+def test_equal_vectors_are_folded(spark, monkeypatch, hot):
+    """40 copies of one vector, 3 of another near it, one more near both: each has its ten nearest, ties by id."""
+    monkeypatch.setattr(_spread, "HOT", hot)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=64)
+    y, z = x + 0.05 * rng.normal(size=64), x + 0.1 * rng.normal(size=64)
+    vectors = {**dict.fromkeys(range(100, 140), x), **dict.fromkeys((7, 300, 301), y), 200: z}
+    df = spark.createDataFrame([("m", i, v.tolist()) for i, v in vectors.items()], "space string, rowid long, vector array<double>").withColumn("vector", F.col("vector").cast("array<float>"))
+    got = {}
+    for r in p3.similar_vectors(df, "space", "rowid", "vector").collect():
+        got.setdefault(r.rowid, {})[r["rank"]] = r.neighbour
+    u = {i: v.astype(np.float32).astype(float) / np.linalg.norm(v.astype(np.float32).astype(float)) for i, v in vectors.items()}
+    for i in vectors:
+        nearest = sorted((j for j in vectors if j != i), key=lambda j: (-round(float(u[i] @ u[j]), 9), j))[:10]
+        assert [got[i][n + 1] for n in range(10)] == nearest
+
+
+def test_many_near_vectors_keep_their_best():
+    """3,000 different vectors of one narrow cone: far more near pairs than the k best of each."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=64) + 0.2 * rng.normal(size=(3000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    i, j = p3.near_pairs(x, 0.9, 10, p3.layouts_inside(0.9))
+    assert len(i) <= 3000 * p3.KEPT * 10
+    found = set(zip(i.tolist(), j.tolist()))
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    kept = sum((min(a, b), max(a, b)) in found for a in range(3000) for b in np.argpartition(-s[a], 10)[:10].tolist())
+    assert kept >= 0.95 * 30_000
+
+
+def test_packed_cosines_have_their_margin():
+    rng = np.random.default_rng(11)
+    spiky = np.zeros((500, 64))
+    spiky[np.arange(500), rng.integers(0, 64, 500)] = 1
+    x = np.concatenate([rng.normal(size=(1000, 64)), spiky + 0.03 * rng.normal(size=(500, 64)), rng.exponential(size=(500, 64))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    packed = pack = np.array(p3.pack(x @ p3.rotation(64)), dtype=object)
+    assert len(packed[0]) == 48
+    y = p3.unpack(pack, 64)
+    assert np.abs(y @ y.T - x @ x.T).max() < p3.MARGIN
+
+
+@pytest.mark.parametrize("similarity", [0.9, 0.91, 0.95])
+@pytest.mark.parametrize("rows", [30_000, 350_000, 3_500_000, 30_000_000, 10**9, 10**10])
+def test_recall_does_not_fall_with_size(rows, similarity):
     rng = np.random.default_rng(6)
     a, other = rng.normal(size=(2, 3000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     other -= (other * a).sum(axis=1, keepdims=True) * a
-    b = 0.9 * a + (1 - 0.9**2) ** 0.5 * other / np.linalg.norm(other, axis=1, keepdims=True)
-    projections, probes, tables = p3.layout_for(rows, 0.9)
-    hasher, salt = p3.Hasher(64, projections, probes, tables), np.zeros(3000, dtype=np.uint64)
-    met, home = np.zeros(3000, dtype=bool), None
-    for (own, x), (_, y) in zip(hasher.buckets(a.astype(np.float32), salt), hasher.buckets(b.astype(np.float32), salt)):
-        if own:
-            home = x, y
-        met |= (x == home[1]) | (y == home[0])
-    assert met.mean() >= 0.988
+    b = similarity * a + (1 - similarity**2) ** 0.5 * other / np.linalg.norm(other, axis=1, keepdims=True)
+    hasher, salt = p3.Hasher(64, *p3.layout_for(rows, 0.9)), np.zeros(3000, dtype=np.uint64)
+    x, y = ([h.copy() for h in hasher.buckets(v.astype(np.float32), salt)] for v in (a, b))
+    own = np.sort(np.stack(x, axis=1), axis=1)
+    met = np.zeros(3000, dtype=bool)
+    for h in y:
+        met |= (own == h[:, None]).any(axis=1)
+    assert met.mean() >= (0.975 if similarity == 0.9 else 0.98 if similarity == 0.91 else 0.993)
 
 
 def test_candidates_at_the_layout_of_millions_of_rows(spark):
@@ -223,16 +268,19 @@ def test_candidates_at_the_layout_of_millions_of_rows(spark):
     assert pairs.where("b = a + 400").count() >= 0.95 * 400
 
 
-def test_sketch_filter_keeps_pairs_at_the_bound(spark):
+def test_large_buckets_lose_few_pairs():
+    """A bucket of 40,000 rows, hashed again inside its task: pairs right at the bound."""
     rng = np.random.default_rng(8)
-    a, other = rng.normal(size=(2, 4000, 64))
+    a, other = rng.normal(size=(2, 2000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     other -= (other * a).sum(axis=1, keepdims=True) * a
     b = 0.9 * a + (1 - 0.9**2) ** 0.5 * other / np.linalg.norm(other, axis=1, keepdims=True)
-    rows = [(1, i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))]
-    df = spark.createDataFrame(rows, "space long, id long, vector array<float>")
-    pairs = p3.candidate_pairs(df, 0.9, 0, 0, 1, p3.BLOCK, 64)  # one bucket: only the sketch can lose a pair
-    assert pairs.where("b = a + 4000").count() >= 0.995 * 4000
+    rest = rng.normal(size=(36_000, 64))
+    x = np.concatenate([a, b, rest / np.linalg.norm(rest, axis=1, keepdims=True)]).astype(np.float32)
+    layouts = p3.layouts_inside(0.9)
+    assert layouts[16][1] > 0
+    i, j = p3.near_pairs(x, 0.9, 10, layouts)
+    assert (j == i + 2000).sum() >= 0.995 * 2000
 
 
 def test_search_reaches_its_recall(spark):
