@@ -70,13 +70,36 @@ _POSTSCRIPT = regex.compile(r"\s*p\.?\s?s\.?\s*[:.]?\s", regex.I)
 _MARK = regex.compile(r"\s*(?:[(\[][\p{L} ]{3,20}[)\]]|v\d{1,2})\s*")
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How long the parts of a layout may be: what is longer is taken for text. The defaults suit mails; raise them for other layouts."""
+
+    intro_lines: int = 8
+    intro_chars: int = 400
+    header_lines: int = 12
+    contact_lines: int = 9
+    contact_chars: int = 90
+    name_lines: int = 2
+    name_chars: int = 50
+    signature_chars: int = 66
+
+
+DEFAULT_LIMITS = Limits()
+
+
 @dataclass
 class Node:
-    """A stretch of lines [start, end) of one kind: new, quote, forward, signature, notice or footer."""
+    """A stretch of lines [start, end) of one kind: new, quote, forward, signature, notice or footer.
+
+    `content` are the lines of a quoted or forwarded mail without their marks;
+    where `offset` is given they are the outer mail's own lines from there on.
+    """
 
     kind: str
     start: int
     end: int
+    content: list[str] | None = None
+    offset: int | None = None
     children: list[Node] = field(default_factory=list)
 
 
@@ -85,19 +108,19 @@ def _blank(line: str) -> bool:
 
 
 class Grammar:
-    """Recursive descent over the lines of one body.
+    """Descent over the lines of one body; `tree` descends into the bodies found in it.
 
     body      = { quote | forward | notice | footer | signature | new }
     quote     = [ intro ] quoted-line { quoted-line }        its content is a body
-    intro     = one to four lines that end in a colon and say who wrote when
-    forward   = ( separator [ headers ] | headers ) body     up to the end
+    intro     = lines that end in a colon and say who wrote when
+    forward   = ( separator [ headers ] | headers ) body     up to the end, or to text below the forwarded mail's signature
     signature = closing [ names ] [ delimiter contacts ] | delimiter contacts | names contacts | device-line
     notice    = [ rule ] legal-paragraph
     footer    = [ rule ] automatic-line { automatic-line }
     """
 
-    def __init__(self, lines: list[str], depth: int = 0, deep: bool = False):
-        self.lines, self.n, self.depth, self.deep = lines, len(lines), depth, deep
+    def __init__(self, lines: list[str], limits: Limits = DEFAULT_LIMITS):
+        self.lines, self.n, self.limits = lines, len(lines), limits
         # What a body has nothing of is not sought line by line.
         text = " ".join(x.strip() for x in lines).lower()
         self.notices = any(c in text for c in _NOTICE_CUES)
@@ -120,9 +143,6 @@ class Grammar:
             at = node.end
         return out
 
-    def inner(self, lines: list[str]) -> list[Node]:
-        return Grammar(lines, self.depth + 1, True).parse() if self.deep and self.depth < 20 else []
-
     def paragraph_end(self, at: int) -> int:
         while at < self.n and not _blank(self.lines[at]):
             at += 1
@@ -144,8 +164,8 @@ class Grammar:
             return None
         end = self.quoted_end(body)
         if end == body:  # an introduction without marked lines: all that follows is quoted
-            return Node("quote", at, self.n, self.inner(self.lines[body:]))
-        return Node("quote", at, end, self.inner([_PREFIX.sub("", x, count=1) for x in self.lines[body:end]]))
+            return Node("quote", at, self.n, self.lines[body:], body)
+        return Node("quote", at, end, [_PREFIX.sub("", x, count=1) for x in self.lines[body:end]])
 
     def intro_end(self, at: int) -> int | None:
         """Where the quoted lines begin if an introduction or a quoted line is at `at`."""
@@ -154,12 +174,12 @@ class Grammar:
         if not self.introductions:
             return None
         text = ""
-        for size in range(1, 5):
+        for size in range(1, self.limits.intro_lines + 1):
             i = at + size - 1
             if i >= self.n or _blank(self.lines[i]) or _QUOTED.match(self.lines[i]):
                 return None
             text = (text + " " + self.lines[i].strip()).strip()
-            if len(text) > 240:
+            if len(text) > self.limits.intro_chars:
                 return None
             if text.endswith(":") and _INTRO.fullmatch(text):
                 if size > 1 and _SENTENCE_END.search(self.lines[at]) and self.intro_end(at + 1) is not None:
@@ -179,7 +199,7 @@ class Grammar:
         while end < self.n and not _blank(self.lines[end]):
             if _HEADER.match(self.lines[end]):
                 count += 1
-            elif count == 0 or end - at > 12 or count >= 4:
+            elif count == 0 or end - at > self.limits.header_lines or count >= 4:
                 break
             end += 1
         return end if count >= 3 else at
@@ -203,7 +223,7 @@ class Grammar:
             last -= 1
         if last > body and _blank(self.lines[last - 1]) and _MARK.fullmatch(self.lines[last]):
             end = last  # a remark of the sender's below all
-        return Node("forward", at, end, self.inner(self.lines[body:end]))
+        return Node("forward", at, end, self.lines[body:end], body)
 
     def after_rule(self, at: int) -> int:
         if self.lines[at].lstrip()[:1] not in _RULE_SIGNS:
@@ -246,13 +266,13 @@ class Grammar:
     def contacts_end(self, at: int) -> int:
         """The end of a short block of name and contact lines."""
         end = at
-        while end < self.n and end - at < 9 and not _blank(self.lines[end]) and len(self.lines[end]) <= 90 and not self.breaks(end):
+        while end < self.n and end - at < self.limits.contact_lines and not _blank(self.lines[end]) and len(self.lines[end]) <= self.limits.contact_chars and not self.breaks(end):
             end += 1
         return end
 
     def names_end(self, at: int) -> int:
         end = at
-        while end < self.n and end - at < 2 and _CAPITAL.fullmatch(self.lines[end]) and len(self.lines[end]) < 50 and not _CLOSING.fullmatch(self.lines[end]):
+        while end < self.n and end - at < self.limits.name_lines and _CAPITAL.fullmatch(self.lines[end]) and len(self.lines[end]) < self.limits.name_chars and not _CLOSING.fullmatch(self.lines[end]):
             end += 1
         return end
 
@@ -266,7 +286,7 @@ class Grammar:
 
     def signature(self, at: int, inside: bool) -> Node | None:
         line = self.lines[at]
-        if len(line) > 66:
+        if len(line) > self.limits.signature_chars:
             return None
         if _DEVICE.fullmatch(line):
             return Node("signature", at, at + 1)
@@ -301,28 +321,53 @@ def lines_of(body: str) -> list[str]:
     return [x[:-1] if x.endswith("\r") else x for x in body.split("\n")]
 
 
-def parse(body: str) -> list[Node]:
-    """The layout tree of a body, with the trees of quoted and forwarded mails as children."""
-    return Grammar(lines_of(body), deep=True).parse()
+def tree(lines: list[str], limits: Limits = DEFAULT_LIMITS) -> list[Node]:
+    """The nodes of a body, with those of quoted and forwarded mails as children, to any depth.
 
-
-def old_lines(body: str | None) -> list[int]:
+    A quoted or forwarded mail without marks reaches to the end of the body
+    unless its own tree says where it ends: text below its signature that is
+    no postscript goes back to the body that holds it.
+    """
+    top = Grammar(lines, limits).parse()
+    order = [(top, n) for n in top if n.content]
+    for _, node in order:  # grows as it goes
+        node.children = Grammar(node.content, limits).parse()
+        order += [(node.children, n) for n in node.children if n.content]
+    for nodes, node in reversed(order):
+        if node.offset is None:
+            continue
+        last = max((i for i, c in enumerate(node.children) if c.kind == "signature"), default=None)
+        below = node.children[last + 1 :] if last is not None else []
+        if below and all(c.kind == "new" for c in below) and not _POSTSCRIPT.match(node.content[below[0].start]):
+            del node.children[last + 1 :]
+            at = next(i for i, n in enumerate(nodes) if n is node)
+            nodes[at + 1 : at + 1] = [Node("new", node.offset + c.start, node.offset + c.end) for c in below]
+            node.end = node.offset + below[0].start
+    return top
+
+
+def parse(body: str, limits: Limits = DEFAULT_LIMITS) -> list[Node]:
+    """The layout tree of a body."""
+    return tree(lines_of(body), limits)
+
+
+def old_lines(body: str | None, limits: Limits = DEFAULT_LIMITS) -> list[int]:
     """The numbers of the lines that hold more than white space and are not newly written."""
     if not body or body.isspace():
         return []
     lines = lines_of(body)
-    return [i for node in Grammar(lines).parse() if node.kind != "new" for i in range(node.start, node.end) if not _blank(lines[i])]
+    return [i for node in tree(lines, limits) if node.kind != "new" for i in range(node.start, node.end) if not _blank(lines[i])]
 
 
-def new_text(body: str | None) -> str | None:
-    """The new nodes of a body; runs of blank lines between them shrink to one."""
+def new_text(body: str | None, limits: Limits = DEFAULT_LIMITS) -> str | None:
+    """The new nodes of a body's tree; runs of blank lines between them shrink to one."""
     if body is None:
         return None
     lines = lines_of(body)
-    return "\n\n".join("\n".join(lines[n.start : n.end]) for n in Grammar(lines).parse() if n.kind == "new")
+    return "\n\n".join("\n".join(lines[n.start : n.end]) for n in tree(lines, limits) if n.kind == "new")
 
 
-def not_new(mails: DataFrame, id_: str, body: str) -> DataFrame:
+def not_new(mails: DataFrame, id_: str, body: str, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """(id, line_no): the lines of each body that are quoted, forwarded, signature, notice or footer.
 
     Null, empty and blank bodies have none. Lines count from 0 and are cut at
@@ -333,18 +378,18 @@ def not_new(mails: DataFrame, id_: str, body: str) -> DataFrame:
     @F.pandas_udf("array<int>")
     def find(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in bodies:
-            yield pd.Series([old_lines(x) for x in b])
+            yield pd.Series([old_lines(x, limits) for x in b])
 
     rows = mails.where(F.col(id_).isNotNull() & F.col(body).isNotNull())
     return rows.select(F.col(id_), F.explode(find(F.col(body))).alias("line_no"))
 
 
-def with_new_text(mails: DataFrame, body: str, out: str = "new_text") -> DataFrame:
+def with_new_text(mails: DataFrame, body: str, out: str = "new_text", limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Adds `out`: the newly written part of `body`; null for a null body, empty when nothing is new."""
 
     @F.pandas_udf("string")
     def reduce(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in bodies:
-            yield pd.Series([new_text(x) for x in b], dtype=object)
+            yield pd.Series([new_text(x, limits) for x in b], dtype=object)
 
     return mails.withColumn(out, reduce(F.col(body)))

@@ -493,6 +493,28 @@ def test_layout_query(spark):
     assert {r.new_text for r in p7.with_new_text(df, "body").collect()} == {"a", None, ""}
 
 
+def test_nesting_has_no_limit():
+    body = "New.\n" + "\n".join(">" * d + f" level {d}" for d in range(1, 300))
+    node, depth = p7.parse(body)[-1], 1
+    while any(c.content for c in node.children):
+        node, depth = next(c for c in node.children if c.content), depth + 1
+    assert depth == 299 and p7.new_text(body) == "New."
+
+
+def test_text_below_an_unmarked_mail_is_the_senders():
+    quoted = "Please book the room.\n\nBest regards,\nOtto Lind"
+    for intro in ("On 3 May 2024 at 10:15, Otto Lind <otto@x.example> wrote:", "-----Original Message-----\nFrom: Otto Lind <otto@x.example>\nSent: 3 May 2024\nTo: Anna\nSubject: Room\n"):
+        assert p7.new_text(f"See below.\n\n{intro}\n{quoted}") == "See below."
+        assert p7.new_text(f"See below.\n\n{intro}\n{quoted}\n\nBooked, it is room 4.") == "See below.\n\nBooked, it is room 4."
+        assert p7.new_text(f"See below.\n\n{intro}\n{quoted}\n\nPS: for ten persons.") == "See below."
+
+
+def test_layout_limits_are_parameters():
+    contacts = "\n".join(f"Office {i}: +44 20 7946 00{i:02}" for i in range(10, 30))
+    body = f"Text.\n\nBest regards,\nAnna Berg\n{contacts}"
+    assert p7.new_text(body) != "Text." and p7.new_text(body, p7.Limits(contact_lines=40)) == "Text."
+
+
 # 8
 
 
