@@ -417,6 +417,26 @@ def test_skip_links_reach_equal_tokens(finder):
     assert len(finder(["Dear Anna, mail a@x.example or +44 20 7946 0018.\n" * 5000])[0]) == 15_000
 
 
+def test_skip_links_decide_what_a_token_leaves_open(spark, finder):
+    """An unknown word with no sign of its own is a person where a greeting names it and none where it is a project."""
+    person, thing = "Dear Zorvan,\nthe files are late. " + "some more words here. " * 5 + "Please ask Zorvan today.", "The project Zorvan is late. " + "some more words here. " * 5 + "Please ask Zorvan today."
+    for skip in (True, False):
+        model = p5.Finder(finder.lexicon, ["Dear Anna Berg,\nask Otto Lind"] * 400, skip=skip).model
+        last = [p5.KIND[model.marginals([p5.candidates(t, finder.lexicon, True)]).argmax(axis=1)[-1]] == p5.NAME for t in (person, thing)]
+        assert last == [True, False] if skip else last[0] == last[1]
+
+
+def test_names_of_any_length_and_broken_lines(finder):
+    text = "Reach J. Anna Otto Anna Otto Anna Berg.\nAnna Berg\nHead of Post - Lerkdan\nSeihiv Road 6, Quiaho\nIdentity card no NR368227A"
+    assert [(k, text[a:b]) for k, a, b in finder([text])[0]] == [("name", "J. Anna Otto Anna Otto Anna Berg"), ("name", "Anna Berg"), ("street_address", "Seihiv Road 6, Quiaho"), ("id_number", "NR368227A")]
+
+
+def test_header_names_of_any_length():
+    words = [f"Given{'abcdefghij'[i]}" for i in range(10)]
+    assert p5.header_names(" ".join(words) + " Berg <berg@x.example>, list <all@x.example>") == [*((False, w) for w in words), (True, "Berg")]
+    assert p5.header_names("x" * 100_000 + " y") == []
+
+
 def test_redaction(spark, finder):
     df = spark.createDataFrame([(1, "Hi Anna, mail otto@x.example!"), (2, None), (3, "")], "id long, t string").withColumn("kind", F.lit(1))
     assert {r.id: r.redacted for r in p5.redact(df, "t", finder).collect()} == {1: "Hi [NAME], mail [EMAIL]!", 2: None, 3: ""}
