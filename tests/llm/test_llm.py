@@ -608,6 +608,23 @@ def test_residue(spark):
     p10.STRETCH = before
 
 
+def test_residue_of_long_texts_in_bounded_memory(monkeypatch):
+    """The coarse pass changes no verdict, and a text of millions of characters takes little memory."""
+    import resource
+
+    prose = ["We met on Monday and went through the plan for the next weeks.", "Please send me the report when you have it, thanks a lot."] * 30
+    run = p10.Detector(prose)
+    texts = ["Your session was closed, sign in again.", "We met. The site is down for maintenance. We met.", prose[0], "abc def ghi", "Skripte sind in Ihrem Browser blockiert."]
+    found = [run(t) for t in texts]
+    assert [[k for k, _, _ in f] for f in found] == [["error_page"], ["error_page"], [], [], ["script_notice"]]
+    with monkeypatch.context() as m:
+        m.setattr(p10, "COARSE", -1e9)
+        assert [run(t) for t in texts] == found
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert [k for k, _, _ in run(" ".join(prose) * 1000 + "\n404 Not Found\n")] == ["error_page"]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
 # shared parts
 
 
