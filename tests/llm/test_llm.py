@@ -614,7 +614,7 @@ def test_residue_of_long_texts_in_bounded_memory(monkeypatch):
 
     prose = ["We met on Monday and went through the plan for the next weeks.", "Please send me the report when you have it, thanks a lot."] * 30
     run = p10.Detector(prose)
-    texts = ["Your session was closed, sign in again.", "We met. The site is down for maintenance. We met.", prose[0], "abc def ghi", "Skripte sind in Ihrem Browser blockiert."]
+    texts = ["Your session was closed, sign in again.", "We met. The site is down for maintenance. We met.", prose[0], "The vendor checked the list.", "Skripte sind in Ihrem Browser blockiert."]
     found = [run(t) for t in texts]
     assert [[k for k, _, _ in f] for f in found] == [["error_page"], ["error_page"], [], [], ["script_notice"]]
     with monkeypatch.context() as m:
