@@ -12,9 +12,9 @@ from skein.operators.embedding import Embedder
 from skein.plans.match import MEMORY, MESSAGES, Layout
 from skein.plans.synonyms import Synonyms, default_synonyms
 from skein.sources.rows import MEMORY_SCHEMA, MESSAGE_SCHEMA, from_rows
-from skein.sources.store import Collection
+from skein.sources.store import SCHEMA_VERSION, Collection
 
-VERSION = "0.1.0"
+VERSION = "0.2.0"
 
 
 class Table:
@@ -52,15 +52,16 @@ class Table:
 
     def search(self, query: str, low: object = None, high: object = None, ignore_date: bool = False, limit: int = 50) -> DataFrame:
         query, embedder = query.strip(), self.engine.embedder
-        docs, vectors = self.collection.docs(), self.collection.vectors()
+        version = self.collection.manifest()
+        docs, vectors, index = self.collection.docs(version), self.collection.vectors(version), self.collection.index_of(version)
         if not query and self.layout is MEMORY:
             return search.browse(docs, *self._bounds(low, high, ignore_date, True), limit)
         hybrid = bool(query) and embedder is not None and not vectors.isEmpty()
         bounds = self._bounds(low, high, ignore_date, not hybrid)
         if not hybrid:
-            return search.keyword_search(docs, query, self.layout, *bounds, limit, self.engine.synonyms, stems=True)
+            return search.keyword_search(docs, query, self.layout, *bounds, limit, self.engine.synonyms, stems=True, index=index)
         vector = embedder.embed([query])[0].tolist()
-        return search.hybrid_search(docs, vectors, query, vector, self.layout, *bounds, limit, self.engine.synonyms, stems=True)
+        return search.hybrid_search(docs, vectors, query, vector, self.layout, *bounds, limit, self.engine.synonyms, stems=True, index=index, unique=True)
 
 
 class Messages(Table):
@@ -103,7 +104,7 @@ class SearchEngine:
     """Opens both collections below a folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, synonyms: Synonyms | None = None):
-        self.spark, self.embedder, self.synonyms = spark, embedder, synonyms or default_synonyms()
+        self.spark, self.embedder, self.synonyms, self.ready = spark, embedder, synonyms or default_synonyms(), False
         mail = lambda: mail_text(F.col("subject"), F.col("from_"), F.col("to_"), F.col("body"))
         memory = lambda: memory_text(F.col("role"), F.col("content"))
         self.messages = Messages(self, Collection(spark, path, "messages", MESSAGES, MESSAGE_SCHEMA, mail, embedder), MESSAGES, MESSAGE_SCHEMA)
@@ -114,7 +115,12 @@ class SearchEngine:
         return cls(spark, path, embedder)
 
     def info(self) -> dict:
-        return {"version": VERSION, "hasEmbeddings": self.embedder is not None, "docs": self.messages.collection.docs().count(), "memoryDocs": self.memory.collection.docs().count()}
+        return {"version": VERSION, "schemaVersion": SCHEMA_VERSION, "hasEmbeddings": self.embedder is not None, "docs": self.messages.collection.manifest()["rows"], "memoryDocs": self.memory.collection.manifest()["rows"]}
+
+    def init(self) -> dict:
+        """What a client calls first; until then `handle` answers nothing but `hello`."""
+        self.ready = True
+        return self.info()
 
     def rebuild_start(self) -> dict:
         return {"emailTotal": self.messages.collection.rebuild_start(), "memoryTotal": self.memory.collection.rebuild_start()}
@@ -131,7 +137,7 @@ class SearchEngine:
         dated = lambda: {"low": p.get("from"), "high": p.get("to"), "ignore_date": bool(p.get("ignoreDate", False)), "limit": int(p.get("limit", 50))}
         methods = {
             "hello": self.info,
-            "init": self.info,
+            "init": self.init,
             "search": lambda: rows(self.messages.search(p.get("q", ""), **dated())),
             "stats": self.messages.stats,
             "filterNewMessages": lambda: self.messages.filter_new(p.get("rows", [])),
@@ -156,6 +162,8 @@ class SearchEngine:
         method = request.get("method")
         if method not in methods:
             return {"id": request.get("id"), "error": f"unknown method: {method}"}
+        if not self.ready and method not in ("hello", "init"):
+            return {"id": request.get("id"), "error": "not initialised: call init first"}
         try:
             return {"id": request.get("id"), "result": methods[method]()}
         except Exception as e:

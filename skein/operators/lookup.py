@@ -81,6 +81,11 @@ def keyset_batch(df: DataFrame, last_rowid: int = 0, size: int = 500) -> DataFra
     return df.where(F.col("rowid") > last_rowid).orderBy("rowid").limit(check_limit(size))
 
 
+def without_keys(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among those to be removed; rows without a key stay."""
+    return df.join(gone.select(key).where(F.col(key).isNotNull() & (F.col(key) != "")).distinct(), key, "left_anti").select(*df.columns)
+
+
 def not_in(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Incoming rows whose non-empty key does not exist yet; their repetitions stay."""
     return incoming.where(F.col(key).isNotNull() & (F.col(key) != "")).join(existing.select(key).distinct(), key, "left_anti")

@@ -2,44 +2,230 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from functools import reduce
+from math import log
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.functions.analysis import tokens
-from skein.plans.match import K1, LEAST_IDF, B, Layout
+from skein.functions.porter import stem
+from skein.plans.match import K1, LEAST_IDF, B, Layout, evaluate, stem_tree
+from skein.plans.query import And, Not, Or, Phrase, QueryError, compile_query, parse_match, phrases
+from skein.plans.synonyms import Synonyms
+
+#: Places of one column lie below those of the next; a column has at most so many tokens.
+COLUMN = 1 << 32
+
 
+def postings_schema(rowid: T.DataType | None = None) -> T.StructType:
+    return T.StructType([T.StructField("term", T.StringType()), T.StructField("rowid", rowid or T.LongType()), T.StructField("places", T.ArrayType(T.LongType())), T.StructField("length", T.LongType())])
 
-def build_postings(df: DataFrame, layout: Layout) -> DataFrame:
-    """(term, rowid, weighted): each term of a row with its hits times column weights.
 
-    Counted inside each row, so that no shuffle is needed; written sorted by
-    term (see the store), a search reads only the row groups of its terms.
+def build_postings(df: DataFrame, layout: Layout, stems: bool = False) -> DataFrame:
+    """(term, rowid, places, length): where each term of a row stands, and the tokens of the row in all columns.
+
+    A place is the column's number times COLUMN plus the token's number. Terms
+    are gathered inside each row, so that nothing is shuffled here; written
+    sorted by term (see the store), a search reads only the row groups of its
+    terms. With `stems` the terms are stems.
     """
-    weighted = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
-    pairs = F.flatten(F.array(*[F.transform(tokens(F.col(c)), weighted(w)) for c, w in layout.weights.items()]))
-    return df.select("rowid", F.explode(pairs).alias("x")).groupBy(F.col("x.term").alias("term"), "rowid").agg(F.sum("x.w").alias("weighted"))
-
-
-def lengths(df: DataFrame, layout: Layout) -> DataFrame:
-    """(rowid, length): the tokens of each row in all columns."""
-    total = sum((F.size(tokens(F.col(c))) for c in layout.columns[1:]), F.size(tokens(F.col(layout.columns[0]))))
-    return df.select("rowid", total.alias("length"))
-
-
-def term_scores(postings: DataFrame, stats: DataFrame, layout: Layout) -> DataFrame:
-    """(term, rowid, part): each posting's share of a BM25 rank."""
-    whole = stats.agg(F.count(F.lit(1)).alias("rows"), F.avg("length").alias("mean")).first()
-    rows, mean = whole["rows"], whole["mean"] or 1.0
-    document_count = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    idf = F.greatest(F.log((F.lit(float(rows)) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(0.0))
-    idf = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
-    f = F.col("weighted")
-    part = -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
-    return postings.join(document_count, "term").join(stats, "rowid").select("term", "rowid", part.alias("part"))
-
-
-def rank_by_postings(postings: DataFrame, stats: DataFrame, layout: Layout, terms: list[str], limit: int) -> DataFrame:
-    """(rowid, rank) of the rows that have all terms; only the postings of these terms are read."""
-    wanted = postings.where(F.col("term").isin(*terms))
-    scored = term_scores(wanted, stats, layout).groupBy("rowid").agg(F.sum("part").alias("rank"), F.count(F.lit(1)).alias("met"))
-    return scored.where(F.col("met") == len(set(terms))).select("rowid", "rank").orderBy("rank", "rowid").limit(limit)
+    columns = [f"_t{i}" for i in range(len(layout.columns))]
+    rows = df.select("rowid", *[tokens(F.col(c)).alias(n) for c, n in zip(layout.columns, columns)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, str] = {}
+
+        def term(word: str) -> str:
+            if word not in known:
+                if len(known) > 500_000:
+                    known.clear()
+                known[word] = stem(word)
+            return known[word]
+
+        for t in batches:
+            out: list[tuple] = []
+            for rowid, *texts in t.itertuples(index=False, name=None):
+                found: dict[str, list[int]] = {}
+                for i, words in enumerate(texts):
+                    for j, w in enumerate(words):
+                        found.setdefault(term(w) if stems else w, []).append(i * COLUMN + j)
+                length = sum(map(len, texts))
+                out += [(w, rowid, places, length) for w, places in found.items()]
+                if len(out) > 200_000:
+                    yield pd.DataFrame(out, columns=["term", "rowid", "places", "length"])
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=["term", "rowid", "places", "length"])
+
+    return rows.mapInPandas(run, postings_schema(df.schema["rowid"].dataType))
+
+
+def sorted_by_term(postings: DataFrame, files: int) -> DataFrame:
+    """Range-partitioned by term and row, so that a frequent term lies in several files, and sorted."""
+    return postings.repartitionByRange(files, "term", "rowid").sortWithinPartitions("term", "rowid")
+
+
+def collection_size(df: DataFrame, layout: Layout) -> tuple[int, int]:
+    """(rows, tokens in all) of a collection: what a rank needs beside the postings."""
+    total = reduce(lambda a, b: a + b, [F.size(tokens(F.col(c))) for c in layout.columns])
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(total.cast("long")).alias("length")).first()
+    return found["rows"], found["length"] or 0
+
+
+def _of_columns(places: Column, columns: list[int] | None) -> Column:
+    if columns is None:
+        return places
+    return F.filter(places, lambda x: F.floor(x / COLUMN).isin(*columns))
+
+
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x + by)
+
+
+def _phrase_rows(postings: DataFrame, phrase: Phrase, layout: Layout) -> DataFrame:
+    """(rowid, length, places): where a phrase ends in each row that has it."""
+    own = [layout.columns.index(phrase.column)] if phrase.column else None
+    *exact, last = phrase.tokens
+    ends = F.col("term").startswith(last) if phrase.prefix else F.col("term") == last
+    if not exact:
+        rows = postings.where(ends).select("rowid", "length", _of_columns(F.col("places"), own).alias("places"))
+        if phrase.prefix:
+            rows = rows.groupBy("rowid", "length").agg(F.flatten(F.collect_list("places")).alias("places"))
+        return rows.where(F.size("places") > 0)
+    # Each token's places are moved to where the phrase would end; they are common to all tokens where it does.
+    n = len(phrase.tokens)
+    sides = [(F.col("term") == t, n - 1 - i) for i, t in enumerate(exact)] + [(ends, 0)]
+    moved = [postings.where(on).select("rowid", "length", F.lit(i).alias("i"), _moved(_of_columns(F.col("places"), own), by).alias("places")) for i, (on, by) in enumerate(sides)]
+    together = reduce(DataFrame.unionByName, moved).groupBy("rowid", "length").agg(*[F.flatten(F.collect_list(F.when(F.col("i") == i, F.col("places")))).alias(f"p{i}") for i in range(n)])
+    return together.select("rowid", "length", reduce(F.array_intersect, [F.col(f"p{i}") for i in range(n)]).alias("places")).where(F.size("places") > 0)
+
+
+def ranked_by_postings(postings: DataFrame, size: tuple[int, int], tree: object, layout: Layout, stems: bool = False) -> DataFrame:
+    """(rowid, rank): the rows that match a tree with their BM25 rank, as a scan gives them; only the postings of its terms are read.
+
+    `size` are the collection's rows and tokens. Each phrase's rows are found
+    from its terms, counted (one small aggregate, which the inverse document
+    frequencies need before the search is planned) and brought together by row.
+    """
+    tree = stem_tree(tree) if stems else tree
+    every = list(dict.fromkeys(phrases(tree)))
+    rows, total = size
+    mean = total / rows if rows else 1.0
+    weighted = reduce(lambda a, b: a + b, [F.size(_of_columns(F.col("places"), [i])) * F.lit(float(w)) for i, w in enumerate(layout.weights.values())])
+    parts = [_phrase_rows(postings, p, layout).select(F.lit(i).alias("i"), "rowid", "length", weighted.alias("f")) for i, p in enumerate(every)]
+    hits = reduce(DataFrame.unionByName, parts)
+    counts = dict(hits.groupBy("i").count().collect())  # one row a phrase
+    wide = hits.groupBy("rowid").agg(F.max("length").alias("length"), *[F.max(F.when(F.col("i") == i, F.col("f"))).alias(f"f{i}") for i in range(len(every))])
+    matched = {p: F.col(f"f{i}").isNotNull() for i, p in enumerate(every)}
+    whole, scored = evaluate(tree, matched, F.lit(True))
+    rank = F.lit(0.0)
+    for p, live in scored:
+        i = every.index(p)
+        n = counts.get(i, 0)
+        idf = log((rows - n + 0.5) / (n + 0.5)) if rows else 0.0
+        f = F.col(f"f{i}")
+        part = F.lit(max(idf, 0.0) or LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
+        rank = rank - F.when(live & f.isNotNull(), part).otherwise(0.0)
+    return wide.where(whole).select("rowid", rank.alias("rank"))
+
+
+def _plain_and(tree: object) -> bool:
+    return isinstance(tree, Phrase) or (isinstance(tree, And) and _plain_and(tree.left) and _plain_and(tree.right))
+
+
+def asked_phrases(queries: DataFrame, layout: Layout, synonyms: Synonyms) -> DataFrame:
+    """(query_id, query, plain, needed, no, phrase, n, i, token, prefix, col): a row for each token of each phrase of each query.
+
+    `plain` queries need all their phrases. Queries that ask nothing or can't
+    be parsed give no rows.
+    """
+    names = ["query_id", "query", "plain", "needed", "no", "phrase", "n", "i", "token", "prefix", "col"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            out = []
+            for id_, text in zip(t["query_id"], t["query"]):
+                try:
+                    tree = parse_match(compile_query(text or "", synonyms), layout.columns)
+                except QueryError:
+                    continue
+                every = list(dict.fromkeys(phrases(tree))) if tree is not None else []
+                for no, p in enumerate(every):
+                    col = layout.columns.index(p.column) if p.column else -1
+                    for i, token in enumerate(p.tokens):
+                        last = i == len(p.tokens) - 1
+                        out.append((id_, text, _plain_and(tree), len(every), no, f"{col} {p.prefix} {' '.join(p.tokens)}", len(p.tokens), i, token, p.prefix and last, col))
+            yield pd.DataFrame(out, columns=names)
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return queries.select("query_id", "query").mapInPandas(run, f"query_id {kind}, query string, plain boolean, needed int, no int, phrase string, n int, i int, token string, prefix boolean, col int")
+
+
+def rank_many(postings: DataFrame, size: tuple[int, int], queries: DataFrame, layout: Layout, synonyms: Synonyms, limit: int) -> DataFrame:
+    """(query_id, rowid, rank, position): the best rows of each of queries(query_id, query), as a single search ranks them.
+
+    Tokens asked for are joined with the postings before anything is counted
+    (prefixes by their first letters), each different phrase is evaluated once
+    for all queries, and the best rows of a query are kept before the last
+    shuffle. Queries with OR or NOT are evaluated by their tree, row by row,
+    over the phrases that a row has.
+    """
+    rows, total = size
+    mean = total / rows if rows else 1.0
+    asked = asked_phrases(queries, layout, synonyms)
+    tokens_ = asked.select("phrase", "n", "i", "token", "prefix", "col").distinct()
+    lengths = [r[0] for r in tokens_.where("prefix").select(F.length("token")).distinct().collect()]  # few: the lengths of words
+    by_term = [postings.withColumnRenamed("term", "token").join(tokens_.where(~F.col("prefix")), "token")]
+    by_term += [postings.withColumn("token", F.substring("term", 1, n)).drop("term").join(tokens_.where(F.col("prefix") & (F.length("token") == n)), "token") for n in lengths]
+    moved = F.transform(F.filter("places", lambda x: (F.col("col") < 0) | (F.floor(x / COLUMN) == F.col("col"))), lambda x: x + (F.col("n") - 1 - F.col("i")))
+    sides = reduce(DataFrame.unionByName, [d.select("phrase", "n", "i", "rowid", "length", moved.alias("places")) for d in by_term]).where(F.size("places") > 0)
+    each = sides.groupBy("phrase", "rowid", "i").agg(F.max("n").alias("n"), F.max("length").alias("length"), F.flatten(F.collect_list("places")).alias("places"))
+    met = each.groupBy("phrase", "rowid").agg(F.max("n").alias("n"), F.max("length").alias("length"), F.collect_list("places").alias("all")).where(F.size("all") == F.col("n"))
+    places = F.aggregate(F.slice("all", 2, F.size("all")), F.col("all")[0], lambda a, b: F.array_intersect(a, b))
+    weighted = reduce(lambda a, b: a + b, [F.size(_of_columns(F.col("places"), [i])) * F.lit(float(w)) for i, w in enumerate(layout.weights.values())])
+    hits = met.select("phrase", "rowid", "length", places.alias("places")).where(F.size("places") > 0).select("phrase", "rowid", "length", weighted.alias("f"))
+    found = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("rows"))
+    idf = F.log((F.lit(float(rows)) - F.col("rows") + 0.5) / (F.col("rows") + 0.5))
+    part = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
+    parts = hits.join(found, "phrase").select("phrase", "rowid", part.alias("part")).join(asked.where("i = 0").select("query_id", "query", "plain", "needed", "no", "phrase"), "phrase")
+    plain = parts.where("plain").groupBy("query_id", "rowid").agg((-F.sum("part")).alias("rank"), F.count(F.lit(1)).alias("met"), F.max("needed").alias("needed")).where("met = needed").select("query_id", "rowid", "rank")
+
+    @F.pandas_udf("double")
+    def by_tree(texts: pd.Series, all_parts: pd.Series) -> pd.Series:
+        trees: dict[str, tuple] = {}
+        out = []
+        for text, own in zip(texts, all_parts):
+            if text not in trees:
+                tree = parse_match(compile_query(text, synonyms), layout.columns)
+                trees[text] = tree, {p: i for i, p in enumerate(dict.fromkeys(phrases(tree)))}
+            tree, number = trees[text]
+            out.append(rank_of(tree, {p: s for s_no, s in ((x["no"], x["part"]) for x in own) for p, i in number.items() if i == s_no}))
+        return pd.Series(out, dtype="float64")
+
+    others = parts.where(~F.col("plain")).groupBy("query_id", "query", "rowid").agg(F.collect_list(F.struct("no", "part")).alias("parts"))
+    others = others.select("query_id", "rowid", by_tree("query", "parts").alias("rank")).where(F.col("rank").isNotNull())
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "rowid"))
+    return plain.unionByName(others).withColumn("position", place).where(F.col("position") <= limit)
+
+
+def rank_of(tree: object, parts: dict[Phrase, float]) -> float | None:
+    """A row's rank by the shares of the phrases that it has, or None if the tree doesn't match it."""
+
+    def match(t: object) -> bool:
+        if isinstance(t, Phrase):
+            return t in parts
+        left, right = match(t.left), match(t.right)
+        return left and right if isinstance(t, And) else left or right if isinstance(t, Or) else left and not right
+
+    def share(t: object) -> float:
+        if isinstance(t, Phrase):
+            return parts.get(t, 0.0)
+        if not isinstance(t, Or) and not match(t):
+            return 0.0
+        return share(t.left) + (0.0 if isinstance(t, Not) else share(t.right))
+
+    return -share(tree) if match(tree) else None

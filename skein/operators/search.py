@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.fusion import OVERFETCH, fuse
 from skein.operators.lookup import between, check_limit, newest
+from skein.operators.postings import rank_many, ranked_by_postings
 from skein.operators.snippet import with_snippets
 from skein.operators.vector_search import nearest
 from skein.plans.match import MEMORY, MESSAGES, Layout, ranked
@@ -15,6 +18,26 @@ from skein.plans.synonyms import Synonyms, default_synonyms
 
 
 
+#: Result rows up to which they are broadcast to the texts.
+MOST_BROADCAST = 100_000
+
+
+@dataclass(frozen=True)
+class Index:
+    """The postings of a collection and its numbers of rows and tokens; `stems` tells whether terms are stems."""
+
+    postings: DataFrame
+    size: tuple[int, int]
+    stems: bool = False
+
+
+def _ranked(df: DataFrame, tree: object, layout: Layout, stems: bool, index: Index | None) -> DataFrame:
+    """The matching rows with their rank: by the index where there is one, else by a scan."""
+    if index is None:
+        return ranked(df, tree, layout, stems)
+    return df.join(ranked_by_postings(index.postings, index.size, tree, layout, index.stems), "rowid")
+
+
 def tree_of(query: str, layout: Layout, synonyms: Synonyms | None = None) -> object | None:
     """The syntax tree of a user's query, or None if nothing is asked."""
     return parse_match(compile_query(query, synonyms or default_synonyms()), layout.columns)
@@ -26,7 +49,7 @@ def _projection(layout: Layout) -> list:
     return ["rowid", "memId", "role", "content", "sessionId", "dateMs"]
 
 
-def keyword_search(df: DataFrame, query: str, layout: Layout, low: int | None = None, high: int | None = None, limit: int = 50, synonyms: Synonyms | None = None, stems: bool = False, snippets: bool = True) -> DataFrame:
+def keyword_search(df: DataFrame, query: str, layout: Layout, low: int | None = None, high: int | None = None, limit: int = 50, synonyms: Synonyms | None = None, stems: bool = False, snippets: bool = True, index: Index | None = None) -> DataFrame:
     """Matching rows: messages by date and then rank, memory by rank and then date.
 
     Dates are filtered before the limit, statistics are those of the whole
@@ -36,7 +59,7 @@ def keyword_search(df: DataFrame, query: str, layout: Layout, low: int | None =
     tree = tree_of(query, layout, synonyms)
     if tree is None:
         return df.limit(0).select(*_projection(layout), F.lit(None).cast("string").alias("snippet"), F.lit(0.0).alias("rank")) if snippets else df.limit(0).select(*_projection(layout), F.lit(0.0).alias("rank"))
-    found = between(ranked(df, tree, layout, stems), "dateMs", low, high)
+    found = between(_ranked(df, tree, layout, stems, index), "dateMs", low, high)
     order = [F.desc("dateMs"), F.asc("rank")] if layout.key == "msgId" else [F.asc("rank"), F.desc("dateMs")]
     found = found.orderBy(*order, "rowid").limit(limit)
     if not snippets:
@@ -50,13 +73,13 @@ def browse(memory: DataFrame, low: int | None = None, high: int | None = None, l
     return found.select(*_projection(MEMORY), F.lit(None).cast("string").alias("snippet"), F.lit(0.0).alias("rank"))
 
 
-def text_candidates(df: DataFrame, tree: object, layout: Layout, limit: int, low: int | None = None, high: int | None = None, stems: bool = False) -> DataFrame:
+def text_candidates(df: DataFrame, tree: object, layout: Layout, limit: int, low: int | None = None, high: int | None = None, stems: bool = False, index: Index | None = None) -> DataFrame:
     """(rowid, rank) of the best matches."""
-    return between(ranked(df, tree, layout, stems), "dateMs", low, high).select("rowid", "rank").orderBy("rank", "rowid").limit(limit)
+    return between(_ranked(df, tree, layout, stems, index), "dateMs", low, high).select("rowid", "rank").orderBy("rank", "rowid").limit(limit)
 
 
 def hybrid_search(
-    df: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, layout: Layout, low: int | None = None, high: int | None = None, limit: int = 50, synonyms: Synonyms | None = None, stems: bool = False, snippets: bool = True
+    df: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, layout: Layout, low: int | None = None, high: int | None = None, limit: int = 50, synonyms: Synonyms | None = None, stems: bool = False, snippets: bool = True, index: Index | None = None, unique: bool = False
 ) -> DataFrame:
     """Keyword and vector candidates, four times the limit of each, fused; rank is minus the score.
 
@@ -67,14 +90,14 @@ def hybrid_search(
     """
     check_limit(limit)
     if vectors is None or query_vector is None:
-        return keyword_search(df, query, layout, low, high, limit, synonyms, stems, snippets)
+        return keyword_search(df, query, layout, low, high, limit, synonyms, stems, snippets, index)
     tree = tree_of(query, layout, synonyms)
     many = OVERFETCH * limit
-    by_vector = nearest(vectors, query_vector, many)
-    by_text = text_candidates(df, tree, layout, many, low, high, stems) if tree is not None else by_vector.limit(0).select("rowid", F.lit(0.0).alias("rank"))
+    by_vector = nearest(vectors, query_vector, many, unique=unique)
+    by_text = text_candidates(df, tree, layout, many, low, high, stems, index) if tree is not None else by_vector.limit(0).select("rowid", F.lit(0.0).alias("rank"))
     fused = fuse(by_text, by_vector, limit)
-    # The fused side has at most `limit` rows by construction.
-    rows = between(df.join(F.broadcast(fused), "rowid"), "dateMs", low, high)
+    few = F.broadcast(fused) if limit <= MOST_BROADCAST else fused  # at most `limit` rows by construction
+    rows = between(df.join(few, "rowid"), "dateMs", low, high)
     rank = (-F.col("final_score")).alias("rank")
     if not snippets:
         return rows.select(*_projection(layout), rank).orderBy("rank", "rowid")
@@ -83,22 +106,6 @@ def hybrid_search(
     return shown.select(*_projection(layout), snippet, rank).orderBy("rank", "rowid")
 
 
-def search_many(df: DataFrame, queries: DataFrame, layout: Layout, limit: int = 10) -> DataFrame:
-    """(query_id, rowid, rank, position): the best rows of each of many queries of plain words, all words needed.
-
-    Terms of all queries are joined with the postings of the collection, so
-    that the collection is analysed once however many queries there are; the
-    best rows of a query are kept before the last shuffle.
-    """
-    from pyspark.sql import Window
-
-    from skein.functions.analysis import tokens
-    from skein.operators.postings import build_postings, lengths, term_scores
-
-    postings, stats = build_postings(df, layout), lengths(df, layout)
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    needed = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    scored = term_scores(postings, stats, layout).join(asked, "term").groupBy("query_id", "rowid").agg(F.sum("part").alias("rank"), F.count(F.lit(1)).alias("met"))
-    whole = scored.join(needed, "query_id").where(F.col("met") == F.col("needed"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "rowid"))
-    return whole.withColumn("position", place).where(F.col("position") <= limit).select("query_id", "rowid", "rank", "position")
+def search_many(index: Index, queries: DataFrame, layout: Layout, limit: int = 10, synonyms: Synonyms | None = None) -> DataFrame:
+    """(query_id, rowid, rank, position): the best rows of each of queries(query_id, query), taken as they are: fields, phrases, AND, OR, NOT."""
+    return rank_many(index.postings, index.size, queries, layout, synonyms or default_synonyms(), limit)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +12,14 @@ from skein.functions.scores import bm25_to_score, distance_to_score
 from skein.operators import lookup, search
 from skein.operators.embedding import HashingEmbedder, embed
 from skein.operators.fusion import fuse
-from skein.operators.postings import build_postings, lengths, rank_by_postings
+from skein.operators.postings import build_postings, collection_size, postings_schema, ranked_by_postings, sorted_by_term
 from skein.operators.vector_search import nearest
 from skein.plans.match import MEMORY, MESSAGES, Layout, ranked
 from skein.plans.query import parse_match
 from skein.plans.synonyms import Synonyms
+from skein.session import shared_folder
+from skein.sources.rows import MESSAGE_SCHEMA
+from skein.sources.store import Collection
 from skein.sources.tables import spread, table
 
 QUERIES: dict = {}
@@ -57,6 +62,22 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+_INDEXES: dict = {}
+
+
+def indexed(spark: SparkSession, d: str, layout: Layout) -> search.Index:
+    """The stored index of a collection, built by the session's first search of it, in the folder that the cluster shares."""
+    key = spark.sparkContext.applicationId, d, layout.key
+    if key not in _INDEXES:
+        df = messages(spark, d, True) if layout is MESSAGES else memory(spark, d, True)
+        path = shared_folder(spark, f"index-{layout.key}-{abs(hash(d))}-{uuid.uuid4().hex}")
+        files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        sorted_by_term(build_postings(df, layout), files).write.parquet(path)
+        _INDEXES[key] = path, collection_size(df, layout)
+    path, size = _INDEXES[key]
+    return search.Index(spark.read.schema(postings_schema()).parquet(path), size)
+
+
 _BASE = """
 WITH text AS (SELECT * FROM messages_fts WHERE msgId <> '' QUALIFY row_number() OVER (PARTITION BY msgId ORDER BY rowid) = 1),
 meta AS (SELECT DISTINCT * FROM message_meta QUALIFY row_number() OVER (PARTITION BY rowid ORDER BY dateMs, hasAttachments, parsedIcsAttachments) = 1),
@@ -88,8 +109,9 @@ def _bm25_sql(layout: Layout, source: str, terms: list[tuple[str, str | None]],
     return f"{_tokens_sql(layout, source, 'tokens')}, hits AS (SELECT *, {', '.join(hits)} FROM tokens), stats AS (SELECT avg(length) AS mean, {stats} FROM hits), ranked AS (SELECT hits.*, -({' + '.join(parts)}) AS rank FROM hits, stats WHERE {where})"
 
 
-def _ranks(df: DataFrame, expression: str, layout: Layout) -> DataFrame:
-    return ranked(df, parse_match(expression, layout.columns), layout).select("rowid", F.round("rank", 6).alias("rank"))
+def _ranks(spark: SparkSession, d: str, expression: str, layout: Layout = MESSAGES) -> DataFrame:
+    index = indexed(spark, d, layout)
+    return ranked_by_postings(index.postings, index.size, parse_match(expression, layout.columns), layout).select("rowid", F.round("rank", 6).alias("rank"))
 
 
 _PLAIN = " SELECT rowid, round(rank, 6) AS rank FROM ranked"
@@ -97,28 +119,28 @@ _PLAIN = " SELECT rowid, round(rank, 6) AS rank FROM ranked"
 
 @query(_BASE + _bm25_sql(MESSAGES, "messages", [("x = 'invoice'", None)], "m0") + _PLAIN)
 def fts_term_bm25(spark, d):
-    return _ranks(messages(spark, d, True), "invoice", MESSAGES)
+    return _ranks(spark, d, "invoice")
 
 
 @query(_BASE + _bm25_sql(MESSAGES, "messages", [("starts_with(x, 'calen')", None)], "m0") + _PLAIN)
 def fts_prefix_bm25(spark, d):
-    return _ranks(messages(spark, d, True), "calen*", MESSAGES)
+    return _ranks(spark, d, "calen*")
 
 
 @query(_BASE + _bm25_sql(MESSAGES, "messages", [(f"x = '{w}'", None) for w in ("bill", "invoice", "receipt")], "m0 OR m1 OR m2") + _PLAIN)
 def fts_synonym_or_group(spark, d):
-    tree = search.tree_of("invoice", MESSAGES, SYNONYMS)
-    return ranked(messages(spark, d, True), tree, MESSAGES).select("rowid", F.round("rank", 6).alias("rank"))
+    index, tree = indexed(spark, d, MESSAGES), search.tree_of("invoice", MESSAGES, SYNONYMS)
+    return ranked_by_postings(index.postings, index.size, tree, MESSAGES).select("rowid", F.round("rank", 6).alias("rank"))
 
 
 @query(_BASE + _bm25_sql(MESSAGES, "messages", [("x = 'invoice'", None), ("x = 'calendar'", None), ("x = 'lunch'", None), ("x = 'printer'", None)], "(m0 AND (m1 OR m2)) AND NOT m3", ["true", "true", "true", "false"]) + _PLAIN)
 def fts_and_not(spark, d):
-    return _ranks(messages(spark, d, True), "(invoice AND (calendar OR lunch)) NOT printer", MESSAGES)
+    return _ranks(spark, d, "(invoice AND (calendar OR lunch)) NOT printer")
 
 
 @query(_BASE + _bm25_sql(MESSAGES, "messages", [("x = 'move'", "subject"), ("x = 'invoice'", None)], "m0 OR m1") + _PLAIN)
 def fts_column_filter(spark, d):
-    return _ranks(messages(spark, d, True), "subject:move OR invoice", MESSAGES)
+    return _ranks(spark, d, "subject:move OR invoice")
 
 
 _PAIRS = " + ".join(f"{w} * len(list_filter(range(1, len(t_{c})), lambda j: t_{c}[j] = 'search' AND t_{c}[j + 1] = 'index'))" for c, w in MESSAGES.weights.items())
@@ -129,7 +151,7 @@ _PAIRS = " + ".join(f"{w} * len(list_filter(range(1, len(t_{c})), lambda j: t_{c
     " SELECT rowid, round(-(CASE WHEN i > 0 THEN i ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS rank FROM hits, stats WHERE f > 0"
 )
 def fts_phrase(spark, d):
-    return _ranks(messages(spark, d, True), '"search index"', MESSAGES)
+    return _ranks(spark, d, '"search index"')
 
 
 @query()
@@ -139,8 +161,20 @@ def fts_stemmed(spark, d):
 
 @query(_BASE + _bm25_sql(MESSAGES, "messages", [("x = 'calendar'", None)], "m0") + " SELECT rowid, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank, rowid LIMIT 200")
 def fts_postings(spark, d):
+    """The index built and asked at once."""
     df = messages(spark, d, True)
-    return rank_by_postings(build_postings(df, MESSAGES), lengths(df, MESSAGES), MESSAGES, ["calendar"], 200).select("rowid", F.round("rank", 6).alias("rank"))
+    return ranked_by_postings(build_postings(df, MESSAGES), collection_size(df, MESSAGES), parse_match("calendar", MESSAGES.columns), MESSAGES).select("rowid", F.round("rank", 6).alias("rank")).orderBy("rank", "rowid").limit(200)
+
+
+@query(_BASE + _bm25_sql(MESSAGES, "messages", [("x = 'calendar'", None)], "m0") + _PLAIN)
+def fts_scan(spark, d):
+    """The plan without an index."""
+    return ranked(messages(spark, d, True), parse_match("calendar", MESSAGES.columns), MESSAGES).select("rowid", F.round("rank", 6).alias("rank"))
+
+
+@query(_BASE + _bm25_sql(MESSAGES, "messages", [("x = 'move'", "subject"), ("x = 'invoice'", "subject"), ("x = 'calendar'", "body")], "(m0 OR m1) AND m2") + _PLAIN)
+def fts_column_group(spark, d):
+    return _ranks(spark, d, "subject:(move OR invoice) AND body:calendar")
 
 
 _KEYWORD = _bm25_sql(MESSAGES, "messages", [("starts_with(x, 'parking')", None), ("starts_with(x, 'permit')", None)], "m0 AND m1")
@@ -148,13 +182,13 @@ _KEYWORD = _bm25_sql(MESSAGES, "messages", [("starts_with(x, 'parking')", None),
 
 @query(_BASE + _KEYWORD + f" SELECT rowid, msgId AS uniqueId, from_ AS author, subject, dateMs, hasAttachments, round(rank, 6) AS rank FROM ranked WHERE dateMs BETWEEN {FROM} AND {TO} ORDER BY dateMs DESC, ranked.rank, rowid LIMIT 50")
 def search_keyword_recency_order(spark, d):
-    found = search.keyword_search(messages(spark, d, True), "parking permit", MESSAGES, FROM, TO, 50, SYNONYMS, snippets=False)
+    found = search.keyword_search(messages(spark, d), "parking permit", MESSAGES, FROM, TO, 50, SYNONYMS, snippets=False, index=indexed(spark, d, MESSAGES))
     return found.withColumn("rank", F.round("rank", 6))
 
 
 @query(_BASE + _bm25_sql(MEMORY, "memory", [("starts_with(x, 'printer')", None), ("starts_with(x, 'label')", None)], "m0 AND m1") + " SELECT rowid, memId, role, content, sessionId, dateMs, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank, dateMs DESC, rowid LIMIT 50")
 def memory_search_rank_order(spark, d):
-    return search.keyword_search(memory(spark, d, True), "printer label", MEMORY, limit=50, synonyms=SYNONYMS, snippets=False).withColumn("rank", F.round("rank", 6))
+    return search.keyword_search(memory(spark, d), "printer label", MEMORY, limit=50, synonyms=SYNONYMS, snippets=False, index=indexed(spark, d, MEMORY)).withColumn("rank", F.round("rank", 6))
 
 
 @query()
@@ -240,8 +274,51 @@ def memory_index_dedupe(spark, d):
 @query("SELECT rowid, msgId FROM messages_fts WHERE msgId IS NULL OR msgId NOT IN (SELECT msgId FROM messages_fts JOIN message_meta USING (rowid) WHERE dateMs = 0 AND msgId IS NOT NULL)")
 def remove_batch(spark, d):
     rows = table(spark, d, "messages_fts").select("rowid", "msgId")
-    gone = rows.join(table(spark, d, "message_meta").where("dateMs = 0"), "rowid").select("msgId").distinct()
-    return rows.join(gone, "msgId", "left_anti").select("rowid", "msgId")
+    gone = rows.join(table(spark, d, "message_meta").where("dateMs = 0"), "rowid")
+    return lookup.without_keys(rows, gone, "msgId")
+
+
+def _store(spark: SparkSession) -> Collection:
+    return Collection(spark, shared_folder(spark, f"store-{uuid.uuid4().hex}"), "messages", MESSAGES, MESSAGE_SCHEMA, lambda: mail_text(F.col("subject"), F.col("from_"), F.col("to_"), F.col("body")), stems=False)
+
+
+_BATCHES = """, first AS (SELECT rowid, msgId FROM messages WHERE hasAttachments), stored AS (
+  SELECT m.* FROM messages m WHERE (SELECT count(*) FROM first f WHERE f.msgId = m.msgId) = 0 UNION ALL SELECT m.* FROM messages m JOIN first USING (rowid, msgId))"""
+
+
+@query(_BASE + _BATCHES + " SELECT msgId, subject, dateMs FROM stored")
+def insert_if_absent(spark, d):
+    """Two batches into a stored collection: the mails with attachments, then all; keys that exist are left as they are."""
+    store, mails = _store(spark), messages(spark, d).withColumnRenamed("rowid", "_pos")
+    store.index(mails.where("hasAttachments"))
+    store.index(mails.withColumn("subject", F.when(F.col("hasAttachments"), F.lit("late")).otherwise(F.col("subject"))))
+    return store.docs().select("msgId", "subject", "dateMs")
+
+
+@query(_BASE + " SELECT msgId, subject, dateMs FROM messages WHERE dateMs <> 0 UNION ALL SELECT msgId, 'again', dateMs FROM messages WHERE dateMs = 0")
+def store_changes(spark, d):
+    """A stored collection cleared, filled, thinned, brought together and filled again."""
+    store, mails = _store(spark), messages(spark, d).withColumnRenamed("rowid", "_pos")
+    store.index(mails.where("hasAttachments"))
+    store.clear()
+    store.index(mails)
+    store.remove([r[0] for r in mails.where("dateMs = 0").select("msgId").collect()])  # the request's own list of ids
+    store.optimize()
+    store.index(mails.withColumn("subject", F.lit("again")))
+    return store.docs().select("msgId", "subject", "dateMs")
+
+
+@query(
+    _BASE + _bm25_sql(MESSAGES, "messages", [("starts_with(x, 'parking')", None), ("starts_with(x, 'permit')", None)], "m0 AND m1") + " SELECT msgId, round(rank, 6) AS rank FROM ranked"
+)
+def stored_search(spark, d):
+    """The postings that two batches left in a stored collection, asked together."""
+    store, mails = _store(spark), messages(spark, d).withColumnRenamed("rowid", "_pos")
+    store.index(mails.where("hasAttachments"))
+    store.index(mails)
+    docs, index = store.docs(), store.index_of()
+    tree = parse_match("parking* AND permit*", MESSAGES.columns)
+    return docs.join(ranked_by_postings(index.postings, index.size, tree, MESSAGES), "rowid").select("msgId", F.round("rank", 6).alias("rank"))
 
 
 _QUERY_VECTOR = "[" + ", ".join(map(str, VECTOR)) + "]"
@@ -276,14 +353,27 @@ kept AS (SELECT * FROM fused WHERE score >= 0.1 ORDER BY score DESC, rowid LIMIT
 SELECT rowid, msgId AS uniqueId, from_ AS author, subject, dateMs, hasAttachments, round(-score, 6) AS rank FROM messages JOIN kept USING (rowid) WHERE dateMs BETWEEN {FROM} AND {TO}"""
 )
 def hybrid_search_date_postfilter(spark, d):
-    found = search.hybrid_search(messages(spark, d, True), table(spark, d, "messages_vec"), "parking permit", VECTOR, MESSAGES, FROM, TO, 50, SYNONYMS, snippets=False)
+    found = search.hybrid_search(messages(spark, d), table(spark, d, "messages_vec"), "parking permit", VECTOR, MESSAGES, FROM, TO, 50, SYNONYMS, snippets=False, index=indexed(spark, d, MESSAGES))
+    return found.withColumn("rank", F.round("rank", 6))
+
+
+@query(
+    _BASE + _bm25_sql(MEMORY, "memory", [("starts_with(x, 'printer')", None), ("starts_with(x, 'label')", None)], "m0 AND m1") + _NEAREST.replace("messages_vec", "memory_vec")
+    + """, best AS (SELECT rowid, rank FROM ranked ORDER BY ranked.rank, rowid LIMIT 200),
+fused AS (SELECT rowid, 0.7 * coalesce(greatest(1 - distance, 0), 0) + 0.3 * coalesce(-rank / (1 - rank), 0) AS score FROM best FULL JOIN near USING (rowid)),
+kept AS (SELECT * FROM fused WHERE score >= 0.1 ORDER BY score DESC, rowid LIMIT 50)
+SELECT rowid, memId, role, content, sessionId, dateMs, round(-score, 6) AS rank FROM memory JOIN kept USING (rowid)"""
+)
+def hybrid_memory_search(spark, d):
+    found = search.hybrid_search(memory(spark, d), table(spark, d, "memory_vec"), "printer label", VECTOR, MEMORY, limit=50, synonyms=SYNONYMS, snippets=False, index=indexed(spark, d, MEMORY))
     return found.withColumn("rank", F.round("rank", 6))
 
 
 @query()
 def search_many(spark, d):
-    asked = table(spark, d, "hybrid_queries").select("query_id", F.regexp_replace("query", r'^from:\S+|"', "").alias("query"))
-    return search.search_many(messages(spark, d, True), asked, MESSAGES).select("query_id", "rowid", "position", F.round("rank", 6).alias("rank"))
+    """All queries as they are written, with fields and phrases."""
+    asked = table(spark, d, "hybrid_queries").select("query_id", "query")
+    return search.search_many(indexed(spark, d, MESSAGES), asked, MESSAGES, synonyms=SYNONYMS).select("query_id", "rowid", "position", F.round("rank", 6).alias("rank"))
 
 
 _SCORE = "CASE WHEN text_score IS NULL OR isnan(text_score) OR isinf(text_score) THEN 0 ELSE greatest(text_score, 0) END"

@@ -58,7 +58,7 @@ def _columns(phrase: Phrase, layout: Layout) -> list[str]:
     return [phrase.column] if phrase.column else layout.columns
 
 
-def _evaluate(tree: object, matched: dict[Phrase, Column], live: Column) -> tuple[Column, list[tuple[Phrase, Column]]]:
+def evaluate(tree: object, matched: dict[Phrase, Column], live: Column) -> tuple[Column, list[tuple[Phrase, Column]]]:
     """Whether the tree matches, and each scoring phrase with the condition under which it counts.
 
     A phrase counts only where every AND and NOT above it matches; the right
@@ -66,13 +66,13 @@ def _evaluate(tree: object, matched: dict[Phrase, Column], live: Column) -> tupl
     """
     if isinstance(tree, Phrase):
         return matched[tree], [(tree, live)]
-    left, _ = _evaluate(tree.left, matched, live)
-    right, _ = _evaluate(tree.right, matched, live)
+    left, _ = evaluate(tree.left, matched, live)
+    right, _ = evaluate(tree.right, matched, live)
     whole = left & right if isinstance(tree, And) else left | right if isinstance(tree, Or) else left & ~right
     inner = live if isinstance(tree, Or) else live & whole
-    scored = _evaluate(tree.left, matched, inner)[1]
+    scored = evaluate(tree.left, matched, inner)[1]
     if not isinstance(tree, Not):
-        scored += _evaluate(tree.right, matched, inner)[1]
+        scored += evaluate(tree.right, matched, inner)[1]
     return whole, scored
 
 
@@ -100,7 +100,7 @@ def ranked(df: DataFrame, tree: object, layout: Layout, stems: bool = False) ->
     counts = df.agg(F.count(F.lit(1)).alias("rows"), F.sum("_length").alias("length"), *[F.sum(any_hit[p].cast("long")).alias(f"n{i}") for i, p in enumerate(every)]).first()
     rows = counts["rows"]
     mean = (counts["length"] or 0) / rows if rows else 1.0
-    whole, scored = _evaluate(tree, any_hit, F.lit(True))
+    whole, scored = evaluate(tree, any_hit, F.lit(True))
     rank = F.lit(0.0)
     for p, live in scored:
         n = counts[f"n{every.index(p)}"] or 0

@@ -16,7 +16,7 @@ WILDCARD_BYTES = 4
 _ALIAS = re.compile(r"(?<![A-Za-z0-9_])(from|to)\s*:", re.I)
 _FIELD_PHRASE = re.compile(r'([A-Za-z_][A-Za-z0-9_]*):"([^"]*)"')
 _FIELD = re.compile(r"([A-Za-z_][^:]*):(.*)", re.S)
-_MATCH = re.compile(r'\s*(?:([A-Za-z_][A-Za-z0-9_]*)\s*:\s*)?(?:"((?:[^"]|"")*)"(\*)?|([^\s()"*:]+)(\*)?)|\s*([()])')
+_MATCH = re.compile(r'\s*(?:([A-Za-z_][A-Za-z0-9_]*)\s*:\s*)?([()])|\s*(?:([A-Za-z_][A-Za-z0-9_]*)\s*:\s*)?(?:"((?:[^"]|"")*)"(\*)?|([^\s()"*:]+)(\*)?)')
 
 
 class QueryError(ValueError):
@@ -32,6 +32,13 @@ class Phrase:
     column: str | None = None
 
 
+@dataclass(frozen=True)
+class Scope:
+    """An opening parenthesis with a column for all in it."""
+
+    column: str
+
+
 @dataclass(frozen=True)
 class And:
     left: object
@@ -65,7 +72,8 @@ def compile_query(query: str, synonyms: Synonyms) -> str:
     """The match expression of a user's query, or an empty text.
 
     Field names, phrases in quotes, trailing wildcards and AND, OR, NOT and
-    parentheses pass through. Words of four bytes and more match as prefixes,
+    parentheses pass through, a field name before a parenthesis holds for all
+    in it, and NEAR(...) is refused. Words of four bytes and more match as prefixes,
     unless a word in the same unquoted part has synonyms: then all its words
     match exactly and synonyms are alternatives.
     """
@@ -84,14 +92,16 @@ def compile_query(query: str, synonyms: Synonyms) -> str:
             if part.strip():
                 out.append(f'"{part}"')
             continue
-        words = re.findall(r"\x00\d+|[()]|[^\s()]+", part)
-        plain = [w for w in words if w[0] != "\x00" and w not in ("AND", "OR", "NOT", "(", ")")]
+        if "NEAR(" in part:
+            raise QueryError("NEAR is not supported")
+        words = re.findall(r"\x00\d+|[A-Za-z_][A-Za-z0-9_]*:\(|[()]|[^\s()]+", part)
+        plain = [w for w in words if w[0] != "\x00" and w not in ("AND", "OR", "NOT", ")") and w[-1] != "("]
         expands = any(not _FIELD.fullmatch(w) and not w.endswith("*") and synonyms.expand(_word(w)[0]) for w in plain)
         for w in words:
             if w[0] == "\x00":
                 out.append(held[int(w[1:])])
                 continue
-            if w in ("AND", "OR", "NOT", "(", ")"):
+            if w in ("AND", "OR", "NOT", ")") or w[-1] == "(":
                 out.append(w)
                 continue
             if all(c in string.punctuation for c in w):
@@ -117,7 +127,7 @@ def compile_query(query: str, synonyms: Synonyms) -> str:
         return " ".join(out)
     joined: list[str] = []
     for piece in out:
-        if joined and joined[-1] not in ("AND", "OR", "NOT", "(") and piece not in ("AND", "OR", "NOT", ")"):
+        if joined and joined[-1] not in ("AND", "OR", "NOT") and joined[-1][-1] != "(" and piece not in ("AND", "OR", "NOT", ")"):
             joined.append("AND")
         joined.append(piece)
     return " ".join(joined)
@@ -132,9 +142,11 @@ def parse_match(expression: str, columns: list[str], analyse=tokens_py) -> objec
         if not m or m.end() == at:
             raise QueryError(f"syntax error near {expression[at:at + 20]!r}")
         at = m.end()
-        column, quoted, quoted_star, bare, star, bracket = m.groups()
+        held, bracket, column, quoted, quoted_star, bare, star = m.groups()
+        if held is not None and (bracket == ")" or held not in columns):
+            raise QueryError(f"no such column: {held}")
         if bracket:
-            items.append(bracket)
+            items.append(bracket if held is None else Scope(held))
         elif quoted is None and column is None and bare in ("AND", "OR", "NOT"):
             items.append(bare)
         else:
@@ -157,13 +169,13 @@ def parse_match(expression: str, columns: list[str], analyse=tokens_py) -> objec
 
     def primary() -> object:
         item = peek()
-        if item == "(":
+        if item == "(" or isinstance(item, Scope):
             take()
             tree = disjunction()
             if peek() != ")":
                 raise QueryError("unbalanced parenthesis")
             take()
-            return tree
+            return tree if item == "(" else _within(tree, item.column)
         if isinstance(item, Phrase):
             return take()
         raise QueryError(f"syntax error near {item!r}")
@@ -177,7 +189,7 @@ def parse_match(expression: str, columns: list[str], analyse=tokens_py) -> objec
 
     def conjunction() -> object:
         tree = exclusion()
-        while peek() == "AND" or isinstance(peek(), Phrase) or peek() == "(":
+        while peek() == "AND" or isinstance(peek(), (Phrase, Scope)) or peek() == "(":
             if peek() == "AND":
                 take()
             tree = And(tree, exclusion())
@@ -196,6 +208,15 @@ def parse_match(expression: str, columns: list[str], analyse=tokens_py) -> objec
     return tree
 
 
+def _within(tree: object, column: str) -> object:
+    """The tree with all its phrases in one column."""
+    if isinstance(tree, Phrase):
+        if tree.column not in (None, column):
+            raise QueryError(f"{tree.column} stands inside {column}")
+        return Phrase(tree.tokens, tree.prefix, column)
+    return type(tree)(_within(tree.left, column), _within(tree.right, column))
+
+
 def phrases(tree: object) -> list[Phrase]:
     """The phrases of a tree from left to right."""
     if isinstance(tree, Phrase):

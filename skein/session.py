@@ -1,10 +1,10 @@
-"""Session defaults and the shared folder that cuts lineage."""
+"""Session defaults and the folder that a cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, name: str = "skein") -> SparkSession:
@@ -22,14 +22,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "skei
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the cluster's shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path below the folder that driver and executors share: that of spark.checkpoint.dir.
 
-    The folder is the one in spark.checkpoint.dir; only a session without that
-    setting (a local test) gets a temporary one.
+    A local session without that setting (a test) gets a temporary folder; a
+    cluster without it is an error, as executors would write to disks of their own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-checkpoint-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="skein-shared-")
+    return f"{folder.rstrip('/')}/{name}"

@@ -1,118 +1,163 @@
-"""Versioned Parquet collections behind a manifest that is replaced atomically."""
+"""Versioned Parquet collections: folders of added rows behind numbered manifests."""
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
+import time
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.functions.analysis import tokens_py
 from skein.operators.embedding import Embedder, embed
 from skein.operators.lookup import keyset_batch
-from skein.operators.postings import build_postings, lengths, rank_by_postings
+from skein.operators.postings import build_postings, collection_size, postings_schema, sorted_by_term
+from skein.operators.search import Index
 from skein.plans.match import Layout
+from skein.sources.files import Folder
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 VECTORS = T.StructType([T.StructField("rowid", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+GONE = T.StructType([T.StructField("rowid", T.LongType())])
+#: Seconds that a folder is kept after the last manifest that names it, for readers of older versions.
+KEEP_SECONDS = 3600
 
 
-class Collection:
-    """One collection of texts and vectors: immutable snapshot folders, one writer, readers pinned to a version.
+class Conflict(RuntimeError):
+    """Another writer published the next version first; its change stands, this one left nothing."""
+
 
-    Texts lie sorted by date, so that date bounds skip row groups. The manifest
-    names the live version and what the vectors were made with; a collection
-    written with other dimensions or an unknown version is refused.
+class Collection:
+    """One collection of texts, postings and vectors.
+
+    A manifest names the folders that make up a version; they are never
+    changed. A batch adds folders of its own (texts sorted by date, postings by
+    term, vectors), a removal adds a list of row ids, and `optimize` brings all
+    together in new folders. A version is published by creating the manifest of
+    the next number, which fails if another writer did so first: no lock can be
+    left behind. Readers keep the version that they opened; folders that no
+    manifest names any more are deleted KEEP_SECONDS later.
+
+    A manifest also has the numbers of rows and tokens, so that a search counts
+    nothing. A collection with vectors of other dimensions, or of an unknown
+    version, is refused.
     """
 
-    def __init__(self, spark: SparkSession, root: str, name: str, layout: Layout, schema: T.StructType, embed_text, embedder: Embedder | None = None):
-        self.spark, self.layout, self.embedder, self.embed_text = spark, layout, embedder, embed_text
+    def __init__(self, spark: SparkSession, root: str, name: str, layout: Layout, schema: T.StructType, embed_text, embedder: Embedder | None = None, stems: bool = True):
+        self.spark, self.layout, self.embedder, self.embed_text, self.stems = spark, layout, embedder, embed_text, stems
         self.schema = T.StructType([T.StructField("rowid", T.LongType()), *schema.fields])
-        self.root = Path(root) / name
-        self.root.mkdir(parents=True, exist_ok=True)
-        if not (self.root / "manifest.json").exists():
-            self._publish(self._empty(self.schema), self._empty(VECTORS), 1)
+        self.folder = Folder(spark, f"{root}/{name}")
+        if not self._numbers():
+            self.folder.create("manifest-0000000001.json", json.dumps(self._blank()))
         m = self.manifest()
         if m["schema_version"] != SCHEMA_VERSION:
-            raise ValueError(f"{self.root} has schema version {m['schema_version']}")
+            raise ValueError(f"{self.folder.path} has schema version {m['schema_version']}")
+        self.stems = m["stems"]
         if embedder and m["dims"] not in (None, embedder.dims):
-            raise ValueError(f"{self.root} has vectors of {m['dims']} numbers, the embedder makes {embedder.dims}")
+            raise ValueError(f"{self.folder.path} has vectors of {m['dims']} numbers, the embedder makes {embedder.dims}")
+
+    def _blank(self) -> dict:
+        return {"schema_version": SCHEMA_VERSION, "number": 1, "next_rowid": 1, "distance": "cosine", "stems": self.stems, "dims": self.embedder.dims if self.embedder else None, "rows": 0, "tokens": 0, "docs": [], "postings": [], "vectors": [], "gone": [], "retired": {}}
 
-    def _empty(self, schema: T.StructType) -> DataFrame:
-        return self.spark.createDataFrame([], schema)
+    def _numbers(self) -> list[int]:
+        return [int(n[9:-5]) for n in self.folder.names() if n.startswith("manifest-") and n.endswith(".json")]
 
     def manifest(self) -> dict:
-        return json.loads((self.root / "manifest.json").read_text())
-
-    def _path(self, part: str) -> str:
-        return str(self.root / self.manifest()["version"] / part)
-
-    def docs(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self._path("docs"))
-
-    def vectors(self) -> DataFrame:
-        return self.spark.read.schema(VECTORS).parquet(self._path("vectors"))
-
-    def _publish(self, docs: DataFrame | None, vectors: DataFrame | None, next_rowid: int) -> None:
-        """Writes a new version (an absent part is taken over as it is) and points the manifest at it."""
-        old = self.manifest() if (self.root / "manifest.json").exists() else None
-        version = f"v-{uuid.uuid4().hex}"
-        for part, df in (("docs", docs), ("vectors", vectors)):
-            target = self.root / version / part
-            if df is None:
-                shutil.copytree(self.root / old["version"] / part, target)
-            else:
-                (df.sortWithinPartitions("dateMs", "rowid") if part == "docs" else df).write.parquet(str(target))
-        new = {"schema_version": SCHEMA_VERSION, "version": version, "next_rowid": next_rowid, "distance": "cosine", "dims": self.embedder.dims if self.embedder else old and old["dims"]}
-        temporary = self.root / f"manifest-{version}.tmp"
-        temporary.write_text(json.dumps(new))
-        os.replace(temporary, self.root / "manifest.json")
-
-    def _locked(self):
-        return _WriterLock(self.root / "writer.lock")
+        return json.loads(self.folder.read(f"manifest-{max(self._numbers()):010}.json"))
+
+    def _publish(self, old: dict, **changes) -> None:
+        new = {**old, **changes, "number": old["number"] + 1}
+        if self.embedder:
+            new["dims"] = self.embedder.dims
+        named = {p for part in ("docs", "postings", "vectors", "gone") for p in self._folders(new, part)}
+        before = {p for part in ("docs", "postings", "vectors", "gone") for p in self._folders(old, part)}
+        new["retired"] = {**old["retired"], **dict.fromkeys(sorted(before - named), time.time())}
+        if not self.folder.create(f"manifest-{new['number']:010}.json", json.dumps(new)):
+            raise Conflict(f"another writer changed {self.folder.path}")
+        for n in self._numbers():
+            if n < new["number"] - 20:
+                self.folder.delete(f"manifest-{n:010}.json")
+
+    @staticmethod
+    def _folders(m: dict, part: str) -> list[str]:
+        return [p["folder"] for p in m[part]] if part == "vectors" else m[part]
+
+    def _write(self, df: DataFrame, part: str) -> str:
+        name = f"{part}-{uuid.uuid4().hex}"
+        df.write.parquet(self.folder.url(name))
+        return name
+
+    def _read(self, names: list[str], schema: T.StructType) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[self.folder.url(n) for n in names])
+
+    def _left(self, df: DataFrame, m: dict) -> DataFrame:
+        return df.join(self._read(m["gone"], GONE), "rowid", "left_anti") if m["gone"] else df
+
+    def docs(self, m: dict | None = None) -> DataFrame:
+        m = m or self.manifest()
+        return self._left(self._read(m["docs"], self.schema), m).select(*self.schema.names)
+
+    def vectors(self, m: dict | None = None) -> DataFrame:
+        """The vectors; of a row embedded anew those of the later batch."""
+        m = m or self.manifest()
+        parts = [self._read([p["folder"]], VECTORS).where(~F.lit(False) if not p["without"] else ~self._in(p["without"])) for p in m["vectors"] if p["without"]]
+        plain = [p["folder"] for p in m["vectors"] if not p["without"]]
+        whole = self._read(plain, VECTORS)
+        for p in parts:
+            whole = whole.unionByName(p)
+        return self._left(whole, m).select(*VECTORS.names)
+
+    @staticmethod
+    def _in(ranges: list[list[int]]):
+        found = F.lit(False)
+        for low, high in ranges:
+            found = found | F.col("rowid").between(low, high)
+        return found
+
+    def index_of(self, m: dict | None = None) -> Index:
+        """The postings (of stems, unless the collection was made without) with the numbers of rows and tokens."""
+        m = m or self.manifest()
+        return Index(self._left(self._read(m["postings"], postings_schema()), m).select(*postings_schema().names), (m["rows"], m["tokens"]), self.stems)
 
     def index(self, rows: DataFrame) -> dict:
         """Adds rows with new keys; of several with one key the first (`_pos`) counts; existing rows are never changed.
 
-        Row ids grow and are never used again. A failing embedder leaves texts
-        without vectors. The counts are those of the batch.
+        Only the new rows are written, with their postings and vectors. Row ids
+        grow and are never used again. A text on which the model fails stays
+        without a vector. The counts are those of the batch.
         """
-        key = self.layout.key
-        with self._locked():
-            keyed = rows.where(F.col(key).isNotNull() & (F.col(key) != ""))
-            keyed = keyed if "_pos" in keyed.columns else keyed.withColumn("_pos", F.monotonically_increasing_id())
-            rest = [c for c in keyed.columns if c not in (key, "_pos")]
-            first = keyed.groupBy(key).agg(F.min("_pos").alias("_pos"), F.min_by(F.struct(*rest), "_pos").alias("_r")).select(key, "_pos", "_r.*")
-            new = first.join(self.docs().select(key), key, "left_anti")
-            start = self.manifest()["next_rowid"]
-            # Numbered by partition counts, so that no task holds all rows.
-            placed = new.repartitionByRange("_pos").sortWithinPartitions("_pos").withColumn("_part", F.spark_partition_id()).persist()
-            sizes = dict(placed.groupBy("_part").count().collect())
-            before, total = {}, 0
-            for part in sorted(sizes):
-                before[part] = total
-                total += sizes[part]
-            offset = F.create_map(*[x for k, v in before.items() for x in (F.lit(k), F.lit(v))])[F.col("_part")] if before else F.lit(0)
+        key, m = self.layout.key, self.manifest()
+        keyed = rows.where(F.col(key).isNotNull() & (F.col(key) != ""))
+        keyed = keyed if "_pos" in keyed.columns else keyed.withColumn("_pos", F.monotonically_increasing_id())
+        rest = [c for c in keyed.columns if c not in (key, "_pos")]
+        first = keyed.groupBy(key).agg(F.min("_pos").alias("_pos"), F.min_by(F.struct(*rest), "_pos").alias("_r")).select(key, "_pos", "_r.*")
+        new = first.join(self.docs(m).select(key), key, "left_anti")
+        start = m["next_rowid"]
+        # Numbered by partition counts, so that no task holds all rows.
+        placed = new.repartitionByRange("_pos").sortWithinPartitions("_pos").withColumn("_part", F.spark_partition_id()).persist()
+        sizes = dict(placed.groupBy("_part").count().collect())
+        before, total = {}, 0
+        for part in sorted(sizes):
+            before[part] = total
+            total += sizes[part]
+        received = keyed.count()
+        if total:
+            offset = F.create_map(*[x for k, v in before.items() for x in (F.lit(k), F.lit(v))])[F.col("_part")]
             numbered = placed.withColumn("rowid", F.lit(start) + offset + F.row_number().over(Window.partitionBy("_part").orderBy("_pos")) - 1)
             added = numbered.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
-            received = keyed.count()
-            docs = self.docs().unionByName(added)
-            vectors = None
-            if self.embedder and total:
-                try:
-                    texts = added.select("rowid", self.embed_text().alias("text"))
-                    vectors = self.vectors().unionByName(embed(texts, "rowid", "text", self.embedder))
-                    self._publish(docs, vectors, start + total)
-                except Exception:  # texts are kept when the model fails
-                    self._publish(docs, None, start + total)
-            elif total:
-                self._publish(docs, None, start + total)
-            placed.unpersist()
+            docs = self._write(added.sortWithinPartitions("dateMs", "rowid"), "docs")
+            written = self._read([docs], self.schema)
+            _, tokens = collection_size(written, self.layout)
+            postings = self._write(sorted_by_term(build_postings(written, self.layout, self.stems), max(1, total // 100_000)), "postings")
+            vectors = m["vectors"]
+            if self.embedder:
+                made = self._write(embed(written.select("rowid", self.embed_text().alias("text")), "rowid", "text", self.embedder, skip_failures=True), "vectors")
+                vectors = [*vectors, {"folder": made, "low": start, "high": start + total - 1, "without": []}]
+            self._publish(m, docs=[*m["docs"], docs], postings=[*m["postings"], postings], vectors=vectors, next_rowid=start + total, rows=m["rows"] + total, tokens=m["tokens"] + tokens)
+        placed.unpersist()
         return {"ok": True, "count": total, "skippedDuplicates": received - total}
 
     def remove(self, ids: list) -> dict:
@@ -120,95 +165,65 @@ class Collection:
         wanted = sorted({x for x in ids if isinstance(x, str) and x})
         if not wanted:
             return {"ok": True, "count": 0}
-        with self._locked():
-            keys = self.spark.createDataFrame([(x,) for x in wanted], f"{self.layout.key} string")
-            docs = self.docs()
-            gone = docs.join(keys, self.layout.key, "left_semi").select("rowid")
-            count = gone.count()
-            if count:
-                self._publish(docs.join(keys, self.layout.key, "left_anti").select(*docs.columns), self.vectors().join(gone, "rowid", "left_anti").select("rowid", "embedding"), self.manifest()["next_rowid"])
+        m = self.manifest()
+        keys = self.spark.createDataFrame([(x,) for x in wanted], f"{self.layout.key} string")
+        gone = self.docs(m).join(keys, self.layout.key, "left_semi")
+        count, tokens = collection_size(gone, self.layout)
+        if count:
+            name = self._write(gone.select("rowid"), "gone")
+            self._publish(m, gone=[*m["gone"], name], rows=m["rows"] - count, tokens=m["tokens"] - tokens)
         return {"ok": True, "count": count}
 
     def clear(self) -> dict:
-        with self._locked():
-            self._publish(self._empty(self.schema), self._empty(VECTORS), 1)
-        return {"ok": True}
-
-    def optimize(self, rows_per_file: int = 1_000_000) -> dict:
-        """Rewrites the texts range-partitioned by date in files of even size, and drops versions no manifest names."""
-        with self._locked():
-            docs = self.docs()
-            files = max(1, -(-docs.count() // rows_per_file))
-            self._publish(docs.repartitionByRange(files, "dateMs", "rowid"), self.vectors().coalesce(files), self.manifest()["next_rowid"])
-            live = self.manifest()["version"]
-            for p in self.root.glob("v-*"):
-                if p.name != live:
-                    shutil.rmtree(p, ignore_errors=True)
+        self._publish(self.manifest(), docs=[], postings=[], vectors=[], gone=[], next_rowid=1, rows=0, tokens=0)
         return {"ok": True}
 
-    def build_index(self, files: int = 8) -> dict:
-        """Writes the postings of the live version, range-partitioned and sorted by term, beside it.
+    def optimize(self, rows_per_file: int = 1_000_000, keep_seconds: float = KEEP_SECONDS) -> dict:
+        """Brings all folders together: texts range-partitioned by date in files of even size, postings by term; removed rows go.
 
-        A search then reads only the row groups whose terms it asks for. The
-        next change publishes a version without an index.
+        Folders that no manifest has named for `keep_seconds` are deleted.
         """
-        with self._locked():
-            folder = self.root / self.manifest()["version"]
-            docs = self.docs()
-            build_postings(docs, self.layout).repartitionByRange(files, "term").sortWithinPartitions("term", "rowid").write.mode("overwrite").parquet(str(folder / "postings"))
-            lengths(docs, self.layout).write.mode("overwrite").parquet(str(folder / "lengths"))
+        m = self.manifest()
+        files = max(1, -(-m["rows"] // rows_per_file))
+        changes: dict = {"gone": []}
+        if m["docs"]:
+            changes["docs"] = [self._write(self.docs(m).repartitionByRange(files, "dateMs", "rowid").sortWithinPartitions("dateMs", "rowid"), "docs")]
+            changes["postings"] = [self._write(sorted_by_term(self.index_of(m).postings, max(1, m["rows"] // 100_000)), "postings")]
+        if m["vectors"]:
+            changes["vectors"] = [{"folder": self._write(self.vectors(m).coalesce(files), "vectors"), "low": 1, "high": m["next_rowid"] - 1, "without": []}]
+        old = {name: at for name, at in m["retired"].items() if at > time.time() - keep_seconds}
+        self._publish({**m, "retired": old}, **changes)
+        live = self.manifest()
+        named = {p for part in ("docs", "postings", "vectors", "gone") for p in self._folders(live, part)} | set(live["retired"])
+        for name in set(m["retired"]) - named:
+            self.folder.delete(name)
         return {"ok": True}
 
-    def indexed(self) -> bool:
-        folder = self.root / self.manifest()["version"]
-        return all((folder / part / "_SUCCESS").exists() for part in ("postings", "lengths"))
-
-    def search_index(self, words: list[str], limit: int = 50) -> DataFrame:
-        """(rowid, rank) of the rows that have all words, from the index; unstemmed."""
-        if not self.indexed():
-            raise ValueError("the live version has no index")
-        terms = [t for w in words for t in tokens_py(w)]
-        read = self.spark.read.parquet
-        return rank_by_postings(read(self._path("postings")), read(self._path("lengths")), self.layout, terms, limit)
-
     def stats(self) -> dict:
-        size = sum(p.stat().st_size for p in (self.root / self.manifest()["version"]).rglob("*.parquet"))
-        return {"docs": self.docs().count(), "vecDocs": self.vectors().count(), "dbBytes": size}
+        m = self.manifest()
+        size = sum(self.folder.size(p) for part in ("docs", "postings", "vectors", "gone") for p in self._folders(m, part))
+        return {"docs": m["rows"], "vecDocs": self.vectors(m).count(), "dbBytes": size}
 
     def rebuild_start(self) -> int:
         """Drops all vectors; the number of texts to embed. An error without an embedder."""
         if not self.embedder:
             raise ValueError("there is no embedder")
-        with self._locked():
-            self._publish(None, self._empty(VECTORS), self.manifest()["next_rowid"])
-        return self.docs().count()
+        m = self.manifest()
+        self._publish(m, vectors=[])
+        return m["rows"]
 
     def rebuild_batch(self, last_rowid: int = 0, size: int = 500) -> dict:
-        """Embeds the next texts after `last_rowid`, replacing their vectors; done when fewer than `size` were left."""
+        """Embeds the next texts after `last_rowid`, replacing their vectors; done when fewer than `size` were left. Only the batch is written."""
         if not self.embedder:
             raise ValueError("there is no embedder")
-        with self._locked():
-            batch = keyset_batch(self.docs(), last_rowid, size)
-            found = batch.agg(F.count(F.lit(1)).alias("n"), F.max("rowid").alias("last")).first()
-            if not found["n"]:
-                return {"lastRowid": last_rowid, "processed": 0, "embedded": 0, "done": True}
-            made = embed(batch.select("rowid", self.embed_text().alias("text")), "rowid", "text", self.embedder)
-            kept = self.vectors().where(~F.col("rowid").between(last_rowid + 1, found["last"]))
-            self._publish(None, kept.unionByName(made), self.manifest()["next_rowid"])
-        return {"lastRowid": found["last"], "processed": found["n"], "embedded": found["n"], "done": found["n"] < size}
-
-
-class _WriterLock:
-    """A lock file: one writer of a collection at a time."""
-
-    def __init__(self, path: Path):
-        self.path = path
-
-    def __enter__(self):
-        try:
-            os.close(os.open(self.path, os.O_CREAT | os.O_EXCL))
-        except FileExistsError as e:
-            raise RuntimeError(f"{self.path} exists: another writer is at work") from e
-
-    def __exit__(self, *_):
-        self.path.unlink(missing_ok=True)
+        m = self.manifest()
+        batch = keyset_batch(self.docs(m), last_rowid, size)
+        found = batch.agg(F.count(F.lit(1)).alias("n"), F.max("rowid").alias("last")).first()
+        if not found["n"]:
+            return {"lastRowid": last_rowid, "processed": 0, "embedded": 0, "done": True}
+        made = self._write(embed(batch.select("rowid", self.embed_text().alias("text")), "rowid", "text", self.embedder, skip_failures=True), "vectors")
+        low, high = last_rowid + 1, found["last"]
+        older = [{**p, "without": [*p["without"], [low, high]]} if p["low"] <= high and low <= p["high"] else p for p in m["vectors"]]
+        self._publish(m, vectors=[*older, {"folder": made, "low": low, "high": high, "without": []}])
+        embedded = self._read([made], VECTORS).count()
+        return {"lastRowid": found["last"], "processed": found["n"], "embedded": embedded, "done": found["n"] < size}

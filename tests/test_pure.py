@@ -11,7 +11,7 @@ from skein.functions.dates import DateError, parse_date
 from skein.functions.porter import stem
 from skein.operators.embedding import HashingEmbedder, mean_pool
 from skein.operators.snippet import best_window
-from skein.plans.query import And, Not, Or, Phrase, QueryError, compile_query, parse_match
+from skein.plans.query import And, Not, Or, Phrase, QueryError, compile_query, parse_match, phrases
 from skein.plans.synonyms import Synonyms, default_synonyms
 from skein.sources.rows import MEMORY_SCHEMA, MESSAGE_SCHEMA, coerce
 
@@ -57,11 +57,24 @@ def test_parse():
             parse_match(wrong, columns)
 
 
+def test_a_column_holds_for_a_group():
+    columns = ["subject", "body"]
+    tree = parse_match(compile_query("subject:(ab OR cd) ef", Synonyms([])), columns)
+    assert [(p.tokens, p.column) for p in phrases(tree)] == [(("ab",), "subject"), (("cd",), "subject"), (("ef",), None)]
+    assert parse_match("subject:(a (b NOT c))", columns) == parse_match("subject:a AND (subject:b NOT subject:c)", columns)
+    assert compile_query("subject:(cost) plan", Synonyms([["cost", "price"]])) == "subject:( (cost OR price) ) AND plan"
+    for wrong in ("nowhere:(a b)", "subject:(body:a)", "subject:(a"):
+        with pytest.raises(QueryError):
+            parse_match(wrong, columns)
+    with pytest.raises(QueryError):
+        compile_query("NEAR(a b)", Synonyms([]))
+
+
 def test_synonyms():
     assert SYNONYMS.expand("COST") == ["allocation", "budget", "cost", "expense", "spending"]
     assert SYNONYMS.expand("price") == ["cost", "price"]
     assert SYNONYMS.expand("tomorrow") == [] == SYNONYMS.expand("other")
-    assert default_synonyms().expand("bill")
+    assert default_synonyms().expand("Refund") == ["refund", "reimbursement", "repayment"]
 
 
 @pytest.mark.parametrize(("value", "expected"), [(None, None), (17, 17), (1.9, 1), ("17", 17), (" ", None), (True, None), ([], None), ("2024-01-01T00:00:00Z", 1704067200000), ("2024-01-01T01:00:00.5+01:00", 1704067200500)])
