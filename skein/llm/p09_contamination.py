@@ -35,26 +35,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        code = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+        return code
+
+
 class WordCodes:
     """Words to 64-bit hashes that are the same in every process; remembers a bounded number of words."""
 
     def __init__(self, remember: int = 500_000):
-        self.known: dict[str, int] = {}
-        self.remember = remember
+        self.known, self.remember = _Hashes(), remember
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        if len(known) > self.remember:
-            known.clear()
-        out = np.empty(len(words), dtype=np.uint64)
-        for i, w in enumerate(words):
-            code = known.get(w)
-            if code is None:
-                code = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
-            out[i] = code
-        return out
+        if len(self.known) > self.remember:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def winnow(words: np.ndarray, k: int, window: int) -> np.ndarray:
