@@ -23,6 +23,8 @@ SKETCH, MOST_DIFFERENT, SKETCH_MISS = 64, 24, 0.002
 BLOCK = 20_000
 #: Pairs of a bucket that a task holds at a time, and rows of buckets that it is given on average.
 SLICE, TASK_ROWS = 1_000_000, 1_000_000
+#: Records whose shingle sets a task of the verification is given on average, at most.
+TASK_SETS = 50_000
 #: Large buckets up to this number are broadcast, more are joined by shuffling.
 MOST_BROADCAST = 100_000
 #: Buckets are found to be large on one record in SAMPLE; this only spreads work and changes no result.
@@ -205,10 +207,11 @@ def near_duplicates(df: DataFrame, id_: str, text: Column, threshold: float = 0.
         split = banded.join(large, "band").select("band", "id", "sketch", "blocks").mapInPandas(_split, banded.schema)
         banded = whole.unionByName(split)
     default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = banded.repartition(max(default, bands * signed.count() // TASK_ROWS), "band").sortWithinPartitions("band")
+    records = signed.count()
+    buckets = banded.repartition(max(default, bands * records // TASK_ROWS), "band").sortWithinPartitions("band")
     pairs = cut(buckets.mapInPandas(_candidates(most), f"a {kind}, b {kind}").distinct())
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", shingle_set(F.col("words"), size).alias("set"))
+    sets = rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", shingle_set(F.col("words"), size).alias("set")).repartition(max(default, records // TASK_SETS), "id")
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     links = both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
