@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -11,11 +12,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
+_WORD = re.compile(r"[^\W_]+")  # letters and digits, as marks are gone
 _MARKS = regex.compile(r"\p{M}+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Letters that no decomposition takes to their plain form (fixed values).
-_PLAIN = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ı": "i", "æ": "ae", "œ": "oe"})
+_PLAIN = {"ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ı": "i", "æ": "ae", "œ": "oe"}
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -23,7 +24,10 @@ def plain_words(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text.casefold())).casefold().translate(_PLAIN)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text.casefold())).casefold()
+        for letter, plain in _PLAIN.items():
+            if letter in text:
+                text = text.replace(letter, plain)
     else:
         text = text.lower()
     return _WORD.findall(text)
@@ -72,6 +76,35 @@ def winnow(words: np.ndarray, k: int, window: int) -> np.ndarray:
     return np.unique(np.lib.stride_tricks.sliding_window_view(h, window).min(axis=1))
 
 
+def winnow_all(texts: list[np.ndarray], k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, fingerprint) of many texts at once, as `winnow` gives them; a fingerprint may be repeated."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    words = np.concatenate([np.empty(0, np.uint64), *texts])
+    n = len(words) - k + 1
+    if n < 1:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    h = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        h = _mix(h * _GOLDEN + words[j : j + n])
+    inside = owner[:n] == owner[k - 1 :]
+    least = h.copy()
+    last = np.arange(n)
+    # the window that begins at each place, cut off at the text's end: texts with fewer hashes have one such window, the first
+    for j in range(1, window):
+        at = np.minimum(last + j, n - 1)
+        whole = inside[at] & (owner[at] == owner[:n]) & (at == last + j)
+        least = np.where(whole, np.minimum(least, h[at]), least)
+    ends = np.cumsum(sizes) - k + 1  # behind each text's last hash
+    full = inside & (last + window <= ends[owner[:n]])
+    first = np.zeros(n, dtype=bool)
+    begins = (np.cumsum(sizes) - sizes)[sizes >= k]
+    first[begins] = True
+    keep = full | (first & inside)
+    keep[1:] &= ~(keep[:-1] & (least[1:] == least[:-1]) & (owner[1:n] == owner[: n - 1]))  # neighbours mostly have the same
+    return owner[:n][keep], least[keep]
+
+
 def longest_shared_run(a: np.ndarray, b: np.ndarray, k: int) -> int:
     """The most consecutive words that both texts have; hits of k words are extended along their diagonal."""
     if min(len(a), len(b)) < k:
@@ -119,8 +152,16 @@ def leaked(corpus: DataFrame, items: DataFrame, doc_id: str, item_id: str, text:
     def fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = WordCodes()
         for t in batches:
-            found = [winnow(codes(plain_words(x)), k, window) for x in t.iloc[:, 1]]
-            yield pd.DataFrame({"id": np.repeat(t.iloc[:, 0].to_numpy(), [len(f) for f in found]), "h": np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)})
+            texts, ids = t.iloc[:, 1].tolist(), t.iloc[:, 0].to_numpy()
+            at = 0
+            while at < len(texts):  # stretches of about five million characters
+                end, chars = at, 0
+                while end < len(texts) and (end == at or chars + len(texts[end]) < 5_000_000):
+                    chars += len(texts[end])
+                    end += 1
+                owner, found = winnow_all([codes(plain_words(x)) for x in texts[at:end]], k, window)
+                yield pd.DataFrame({"id": ids[at:end][owner], "h": found.view(np.int64)})
+                at = end
 
     kinds = docs.schema["d"].dataType.simpleString(), tests.schema["i"].dataType.simpleString()
     of_docs = docs.mapInPandas(fingerprints, f"id {kinds[0]}, h long").withColumnRenamed("id", "d")

@@ -583,6 +583,14 @@ def test_contamination_equals_brute_force(spark):
     assert p9.plain_words("Café-ÉTÉ Straße") == ["cafe", "ete", "strasse"]
 
 
+def test_winnowing_of_many_texts_is_that_of_each():
+    rng = np.random.default_rng(12)
+    texts = [rng.integers(0, 9, n).astype(np.uint64) for n in [0, 3, 8, 9, 10, 11, 12, 13, 0, 5, 300, 9, 8, 12, 0]]
+    owner, found = p9.winnow_all(texts, 9, 4)
+    assert [set(found[owner == i].tolist()) for i in range(len(texts))] == [set(p9.winnow(t, 9, 4).tolist()) for t in texts]
+    assert len(p9.winnow_all([], 9, 4)[0]) == 0
+
+
 # 10
 
 
