@@ -633,7 +633,10 @@ def test_residue_of_long_texts_in_bounded_memory(monkeypatch):
     texts = ["Your session was closed, sign in again.", "We met. The site is down for maintenance. We met.", prose[0], "The vendor checked the list.", "Skripte sind in Ihrem Browser blockiert."]
     found = [run(t) for t in texts]
     assert [[k for k, _, _ in f] for f in found] == [["error_page"], ["error_page"], [], [], ["script_notice"]]
+    assert run.many([*texts, None, " ", "İ\n404 Not Found"]) == [*found, [], [], [("error_page", 13, 15)]]
     with monkeypatch.context() as m:
+        m.setattr(p10, "STRETCH", 30)
+        assert run.many(texts) == found
         m.setattr(p10, "COARSE", -1e9)
         assert [run(t) for t in texts] == found
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
