@@ -265,9 +265,19 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
 
+_WRITTEN_DOT = re.compile(r"dot[\])]?\s?$", re.I)
+
+
 def _mail_at(text: str, sign: re.Match, least: int) -> re.Match | None:
     """The mail address around a sign, not before `least`; the stretch searched goes on as far as address characters do."""
     high, before = min(len(text), max(sign.end() + 120, _MAIL_REST.match(text, sign.end()).end() + 1)), 80
+    if sign.group(0) == "@":  # a plain local part ends right before the sign; what is written out is sought below
+        start = sign.start()
+        while start > least and (text[start - 1].isalnum() or text[start - 1] in "_.+%-"):
+            start -= 1
+        m = None if _WRITTEN_DOT.search(text[max(0, start - 6) : start]) else _MAIL.match(text, start, high)
+        if m is not None and m.end() > sign.start():
+            return m
     while True:
         low = max(least, sign.start() - before)
         m = next((m for m in _MAIL.finditer(text, low, high) if m.end() > sign.start()), None)
