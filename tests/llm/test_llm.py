@@ -644,6 +644,41 @@ def test_residue_of_long_texts_in_bounded_memory(monkeypatch):
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
 
 
+def test_residue_is_judged_by_all_documents(spark):
+    """Wording that only the documents of greatest id hash have teaches the prose model too, however the rows are split."""
+    prose = [f"The team {v} the {n} before lunch, because the {m} was late." for v in ("moved", "checked", "printed", "signed") for n in ("plan", "list", "crate", "label") for m in ("courier", "vendor", "lift")]
+    rare = ["The requested recipe was not found in the old book.", "The server brought the wrong soup and the request was denied."]
+    last = [r.id for r in spark.range(1700).orderBy(F.xxhash64("id").desc()).limit(2).collect()]
+    texts = {i: rare[last.index(i)] if i in last else prose[i % len(prose)] for i in range(1700)}
+    assert [k for t in rare for k, _, _ in p10.Detector(prose)(t)] == ["error_page"] * 2
+    df = spark.createDataFrame([*texts.items(), (None, "404 Not Found"), (1700, None), (1701, "Error 404: page not found")], "doc_id long, text string")
+    assert rows_of(p10.residue(df, "doc_id").select("doc_id", "kind")) == {(1701, "error_page")}
+    fits = [p10.fit(df, "doc_id", "text"), p10.fit(df.repartition(7), "doc_id", "text"), p10.Detector([*texts.values(), "Error 404: page not found"])]
+    for fit in fits[1:]:
+        assert all(np.array_equal(a, b) for a, b in zip([*fits[0].prose.p, *fits[0].corpus_only.p, fits[0].prose.seen], [*fit.prose.p, *fit.corpus_only.p, fit.prose.seen]))
+    assert p10.residue(df.limit(0), "doc_id").count() == 0
+
+
+def test_counts_of_parts_add_up(monkeypatch):
+    """Counts don't depend on where texts are cut, and of n-grams that share a place the probability stays below 1."""
+    texts = ["We met on Monday and went through the plan.", "Résumé 42", "İx", "a\0b", "", "The list, the plan and the label. " * 9]
+    whole = p10.Counts(texts)
+    parts = p10.Counts(texts[:2]) + p10.Counts(texts[2:])
+    rows = p10.Counts.of_rows(whole.rows().sample(frac=1, random_state=1))
+    monkeypatch.setattr(p10, "COUNTED", 7)
+    for other in (parts, rows, p10.Counts(texts)):
+        assert all(np.array_equal(a, b) for a, b in zip([*whole.keys, *whole.times, whole.seen], [*other.keys, *other.times, other.seen]))
+    wide = "".join(chr(0x3000 + i) for i in range(9000))  # too many signs to be counted at once
+    monkeypatch.setattr(p10, "COUNTED", 20_000)
+    whole_wide = p10.Counts([wide, texts[0]])
+    monkeypatch.setattr(p10, "COUNTED", 3001)
+    parts = p10.Counts([wide]) + p10.Counts(texts[:1])
+    assert all(np.array_equal(a, b) for a, b in zip([*whole_wide.keys, *whole_wide.times, whole_wide.seen], [*parts.keys, *parts.times, parts.seen]))
+    assert [int(t.sum()) for t in parts.times] == [len(wide) + 1 + len(texts[0]) + 1] * 5
+    model = p10.CharModel(whole, 4)
+    assert all(p.max() <= w for p, w in zip(model.p, p10._WEIGHTS))
+
+
 # shared parts
 
 
