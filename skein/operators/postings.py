@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from math import log
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,12 +18,15 @@ from pyspark.sql import types as T
 from skein.functions.analysis import tokens
 from skein.functions.porter import stem
 from skein.plans.match import K1, LEAST_IDF, B, Layout, evaluate, stem_tree
-from skein.plans.query import And, Not, Or, Phrase, QueryError, compile_query, parse_match, phrases
-from skein.plans.synonyms import Synonyms
+from skein.plans.query import And, Not, Or, Phrase, phrases
+from skein.session import shared_folder
 
 #: Places of one column lie below those of the next; a column has at most so many tokens.
 COLUMN = 1 << 32
 
+#: Phrases of rows that a task ranks at once, which bounds its memory.
+MOST_HITS = 2_000_000
+
 
 def postings_schema(rowid: T.DataType | None = None) -> T.StructType:
     return T.StructType([T.StructField("term", T.StringType()), T.StructField("rowid", rowid or T.LongType()), T.StructField("places", T.ArrayType(T.LongType())), T.StructField("length", T.LongType())])
@@ -133,52 +140,29 @@ def ranked_by_postings(postings: DataFrame, size: tuple[int, int], tree: object,
     return wide.where(whole).select("rowid", rank.alias("rank"))
 
 
-def _plain_and(tree: object) -> bool:
-    return isinstance(tree, Phrase) or (isinstance(tree, And) and _plain_and(tree.left) and _plain_and(tree.right))
+def _wanted(asked: list[Phrase], layout: Layout) -> pd.DataFrame:
+    """(phrase, n, i, token, prefix, col): a row for each token of each phrase asked for; `col` is -1 for any column."""
+    names = ["phrase", "n", "i", "token", "prefix", "col"]
+    out = [(no, len(p.tokens), i, token, p.prefix and i == len(p.tokens) - 1, layout.columns.index(p.column) if p.column else -1) for no, p in enumerate(asked) for i, token in enumerate(p.tokens)]
+    return pd.DataFrame(out, columns=names)
 
 
-def asked_phrases(queries: DataFrame, layout: Layout, synonyms: Synonyms) -> DataFrame:
-    """(query_id, query, plain, needed, no, phrase, n, i, token, prefix, col): a row for each token of each phrase of each query.
+_WANTED = "phrase int, n int, i int, token string, prefix boolean, col int"
 
-    `plain` queries need all their phrases. Queries that ask nothing or can't
-    be parsed give no rows.
-    """
-    names = ["query_id", "query", "plain", "needed", "no", "phrase", "n", "i", "token", "prefix", "col"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            out = []
-            for id_, text in zip(t["query_id"], t["query"]):
-                try:
-                    tree = parse_match(compile_query(text or "", synonyms), layout.columns)
-                except QueryError:
-                    continue
-                every = list(dict.fromkeys(phrases(tree))) if tree is not None else []
-                for no, p in enumerate(every):
-                    col = layout.columns.index(p.column) if p.column else -1
-                    for i, token in enumerate(p.tokens):
-                        last = i == len(p.tokens) - 1
-                        out.append((id_, text, _plain_and(tree), len(every), no, f"{col} {p.prefix} {' '.join(p.tokens)}", len(p.tokens), i, token, p.prefix and last, col))
-            yield pd.DataFrame(out, columns=names)
-
-    kind = queries.schema["query_id"].dataType.simpleString()
-    return queries.select("query_id", "query").mapInPandas(run, f"query_id {kind}, query string, plain boolean, needed int, no int, phrase string, n int, i int, token string, prefix boolean, col int")
+def _hits_schema(rows: DataFrame, *kept: str) -> T.StructType:
+    fields = [T.StructField("length", T.LongType()), T.StructField("phrases", T.ArrayType(T.IntegerType())), T.StructField("fs", T.ArrayType(T.DoubleType()))]
+    return T.StructType([rows.schema["rowid"], *[rows.schema[c] for c in kept], *fields])
 
 
-def rank_many(postings: DataFrame, size: tuple[int, int], queries: DataFrame, layout: Layout, synonyms: Synonyms, limit: int) -> DataFrame:
-    """(query_id, rowid, rank, position): the best rows of each of queries(query_id, query), as a single search ranks them.
+def hits_of_postings(postings: DataFrame, asked: list[Phrase], layout: Layout) -> DataFrame:
+    """(rowid, length, phrases, fs): the phrases of each row that has any, by their numbers in `asked`, with their weighted frequencies.
 
-    Tokens asked for are joined with the postings before anything is counted
-    (prefixes by their first letters), each different phrase is evaluated once
-    for all queries, and the best rows of a query are kept before the last
-    shuffle. Queries with OR or NOT are evaluated by their tree, row by row,
-    over the phrases that a row has.
+    Tokens asked for are joined with the postings before anything is counted, prefixes by their first letters.
     """
-    rows, total = size
-    mean = total / rows if rows else 1.0
-    asked = asked_phrases(queries, layout, synonyms)
-    tokens_ = asked.select("phrase", "n", "i", "token", "prefix", "col").distinct()
-    lengths = [r[0] for r in tokens_.where("prefix").select(F.length("token")).distinct().collect()]  # few: the lengths of words
+    wanted = _wanted(asked, layout)
+    tokens_ = postings.sparkSession.createDataFrame(list(wanted.itertuples(index=False, name=None)), _WANTED)
+    lengths = sorted({len(t) for t, prefix in zip(wanted["token"], wanted["prefix"]) if prefix})  # few: the lengths of words
     by_term = [postings.withColumnRenamed("term", "token").join(tokens_.where(~F.col("prefix")), "token")]
     by_term += [postings.withColumn("token", F.substring("term", 1, n)).drop("term").join(tokens_.where(F.col("prefix") & (F.length("token") == n)), "token") for n in lengths]
     moved = F.transform(F.filter("places", lambda x: (F.col("col") < 0) | (F.floor(x / COLUMN) == F.col("col"))), lambda x: x + (F.col("n") - 1 - F.col("i")))
@@ -187,45 +171,202 @@ def rank_many(postings: DataFrame, size: tuple[int, int], queries: DataFrame, la
     met = each.groupBy("phrase", "rowid").agg(F.max("n").alias("n"), F.max("length").alias("length"), F.collect_list("places").alias("all")).where(F.size("all") == F.col("n"))
     places = F.aggregate(F.slice("all", 2, F.size("all")), F.col("all")[0], lambda a, b: F.array_intersect(a, b))
     weighted = reduce(lambda a, b: a + b, [F.size(_of_columns(F.col("places"), [i])) * F.lit(float(w)) for i, w in enumerate(layout.weights.values())])
-    hits = met.select("phrase", "rowid", "length", places.alias("places")).where(F.size("places") > 0).select("phrase", "rowid", "length", weighted.alias("f"))
-    found = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("rows"))
-    idf = F.log((F.lit(float(rows)) - F.col("rows") + 0.5) / (F.col("rows") + 0.5))
-    part = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
-    parts = hits.join(found, "phrase").select("phrase", "rowid", part.alias("part")).join(asked.where("i = 0").select("query_id", "query", "plain", "needed", "no", "phrase"), "phrase")
-    plain = parts.where("plain").groupBy("query_id", "rowid").agg((-F.sum("part")).alias("rank"), F.count(F.lit(1)).alias("met"), F.max("needed").alias("needed")).where("met = needed").select("query_id", "rowid", "rank")
-
-    @F.pandas_udf("double")
-    def by_tree(texts: pd.Series, all_parts: pd.Series) -> pd.Series:
-        trees: dict[str, tuple] = {}
-        out = []
-        for text, own in zip(texts, all_parts):
-            if text not in trees:
-                tree = parse_match(compile_query(text, synonyms), layout.columns)
-                trees[text] = tree, {p: i for i, p in enumerate(dict.fromkeys(phrases(tree)))}
-            tree, number = trees[text]
-            out.append(rank_of(tree, {p: s for s_no, s in ((x["no"], x["part"]) for x in own) for p, i in number.items() if i == s_no}))
-        return pd.Series(out, dtype="float64")
-
-    others = parts.where(~F.col("plain")).groupBy("query_id", "query", "rowid").agg(F.collect_list(F.struct("no", "part")).alias("parts"))
-    others = others.select("query_id", "rowid", by_tree("query", "parts").alias("rank")).where(F.col("rank").isNotNull())
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "rowid"))
-    return plain.unionByName(others).withColumn("position", place).where(F.col("position") <= limit)
-
-
-def rank_of(tree: object, parts: dict[Phrase, float]) -> float | None:
-    """A row's rank by the shares of the phrases that it has, or None if the tree doesn't match it."""
-
-    def match(t: object) -> bool:
-        if isinstance(t, Phrase):
-            return t in parts
-        left, right = match(t.left), match(t.right)
-        return left and right if isinstance(t, And) else left or right if isinstance(t, Or) else left and not right
+    hits = met.select("phrase", "rowid", "length", places.alias("places")).where(F.size("places") > 0).select("rowid", "length", F.struct("phrase", weighted.alias("f")).alias("hit"))
+    return hits.groupBy("rowid").agg(F.max("length").alias("length"), F.collect_list("hit").alias("hits")).select("rowid", "length", F.col("hits.phrase").alias("phrases"), F.col("hits.f").alias("fs"))
+
+
+def hits_of_texts(df: DataFrame, asked: list[Phrase], layout: Layout) -> DataFrame:
+    """(rowid, key, length, phrases, fs) of every row, as hits_of_postings has them, from one scan of the texts and without a shuffle.
 
-    def share(t: object) -> float:
-        if isinstance(t, Phrase):
-            return parts.get(t, 0.0)
-        if not isinstance(t, Or) and not match(t):
-            return 0.0
-        return share(t.left) + (0.0 if isinstance(t, Not) else share(t.right))
+    Tokens are made by the same built-in expression as everywhere; Python sees
+    each different token of a batch once, and all else is done on arrays.
+    """
+    columns = [f"_t{i}" for i in range(len(layout.columns))]
+    rows = df.select("rowid", layout.key, *[tokens(F.col(c)).alias(n) for c, n in zip(layout.columns, columns)])
+    wanted, weights, kinds = _wanted(asked, layout), list(layout.weights.values()), max(1, len(asked))
+    schema = _hits_schema(df, layout.key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exact: dict[str, list[int]] = {}
+        prefixes: dict[str, list[int]] = {}
+        for use, (token, prefix) in enumerate(zip(wanted["token"], wanted["prefix"])):
+            (prefixes if prefix else exact).setdefault(token, []).append(use)
+        lengths = sorted({len(t) for t in prefixes})
+        phrase, n, i, col = (wanted[c].to_numpy(dtype="int64") for c in ("phrase", "n", "i", "col"))
+        known: dict[str, list[int]] = {}
+
+        def uses(token: str) -> list[int]:
+            """The places in phrases at which a token may stand."""
+            if token not in known:
+                if len(known) > 500_000:
+                    known.clear()
+                known[token] = [*exact.get(token, ()), *[u for m in lengths if m <= len(token) for u in prefixes.get(token[:m], ())]]
+            return known[token]
 
-    return -share(tree) if match(tree) else None
+        for t in batches:
+            length = np.zeros(t.num_rows, dtype="int64")
+            found: list[tuple] = []
+            for c, name in enumerate(columns):
+                lists = t.column(t.schema.get_field_index(name))
+                own = np.diff(lists.offsets.to_numpy())
+                length += own
+                words = lists.flatten().dictionary_encode()
+                by_word = [uses(w) for w in words.dictionary.to_pylist()]
+                counts = np.array([len(u) for u in by_word], dtype="int64")
+                word = words.indices.to_numpy(zero_copy_only=False)
+                at = np.flatnonzero(counts[word]) if len(word) else np.zeros(0, dtype="int64")
+                if not len(at):
+                    continue
+                word, first = word[at], np.cumsum(own) - own
+                row = np.repeat(np.arange(t.num_rows), own)[at]
+                times = counts[word]  # each of the word's uses at each of its places
+                start = np.repeat((np.cumsum(counts) - counts)[word], times)
+                step = np.arange(len(start)) - np.repeat(np.cumsum(times) - times, times)
+                use = np.array([u for us in by_word for u in us], dtype="int64")[start + step]
+                row, place = np.repeat(row, times), np.repeat(at - first[row], times)
+                here = (col[use] < 0) | (col[use] == c)
+                use, row, place = use[here], row[here], place[here]
+                found.append((row, phrase[use], place + n[use] - 1 - i[use], n[use], np.full(len(row), c)))
+            empty = np.zeros(0, dtype="int64")
+            row, kind, end, need, column = map(np.concatenate, zip(*found)) if found else (empty,) * 5
+            # A phrase stands where all its tokens, moved to its end, meet.
+            order = np.lexsort((end, column, kind, row))
+            row, kind, end, need, column = (x[order] for x in (row, kind, end, need, column))
+            begins = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(kind) != 0) | (np.diff(end) != 0) | (np.diff(column) != 0)]) if len(row) else empty
+            begins = begins[np.diff(np.r_[begins, len(row)]) == need[begins]]
+            row, kind, column = row[begins], kind[begins], column[begins]
+            key, number = np.unique(row * kinds + kind, return_inverse=True)
+            f = np.zeros(len(key))
+            for c, w in enumerate(weights):
+                f += np.bincount(number[column == c], minlength=len(key)) * float(w)
+            offsets = pa.array(np.searchsorted(key, np.arange(t.num_rows + 1) * kinds), type=pa.int32())
+            arrays = [t.column(0), t.column(1), pa.array(length), pa.ListArray.from_arrays(offsets, pa.array(key % kinds, type=pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(f))]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def rank_many(hits: DataFrame, size: tuple[int, int] | None, queries: DataFrame, trees: dict[str, object], asked: list[Phrase], layout: Layout, limit: int) -> DataFrame:
+    """(query_id, rowid, rank, position): the best rows of each of queries(query_id, query), as a single search ranks them.
+
+    `hits` are those of the phrases `asked`; without `size` they have a row for
+    each row of the collection. They are written to the shared folder, as they
+    are read twice: the rows of each phrase are counted for all queries, then
+    each task ranks its own rows for every different query and hands on the
+    best `limit`, so that what is shuffled does not grow with the matches.
+    The different queries are known to the driver and to every task.
+    """
+    spark, schema = hits.sparkSession, hits.schema
+    if limit < 1 or not trees:
+        return queries.limit(0).select("query_id", F.lit(None).cast(schema["rowid"].dataType).alias("rowid"), F.lit(0.0).alias("rank"), F.lit(0).alias("position"))
+    path = shared_folder(spark, f"many-{uuid.uuid4().hex}")
+    hits.write.parquet(path)
+    hits = spark.read.schema(schema).parquet(path)
+    if size is None:
+        found = hits.agg(F.count(F.lit(1)), F.sum("length")).first()
+        size = found[0], found[1] or 0
+    rows, total = size
+    mean = (total / rows if rows else 1.0) or 1.0
+    counts = dict(hits.select(F.explode("phrases").alias("phrase")).groupBy("phrase").count().collect())  # one row a phrase
+    idf = np.array([max(log((rows - counts.get(p, 0) + 0.5) / (counts.get(p, 0) + 0.5)), 0.0) or LEAST_IDF for p in range(len(asked))])
+    numbers = {p: i for i, p in enumerate(asked)}
+    numbered = [_numbered(t, numbers) for t in trees.values()]
+    no_of = {text: no for no, text in enumerate(trees)}
+    found_schema = T.StructType([T.StructField("no", T.IntegerType()), schema["rowid"], T.StructField("rank", T.DoubleType())])
+
+    def best(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        t = t.take(pc.sort_indices(t, sort_keys=[("rowid", "ascending")]))  # then a row's number is its place among equal ranks
+        lists = t.column("phrases").combine_chunks()
+        kind, f = lists.flatten().to_numpy(), t.column("fs").combine_chunks().flatten().to_numpy()
+        row = np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy()))
+        order = np.lexsort((row, kind))
+        kind, f, row = kind[order], f[order], row[order]
+        length = t.column("length").to_numpy()[row].astype("float64")
+        part = idf[kind] * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
+        starts = np.searchsorted(kind, np.arange(len(asked) + 1))
+        of = [(row[a:b], part[a:b]) for a, b in zip(starts, starts[1:])]
+        out = []
+        for no, tree in enumerate(numbered):
+            own, ranks = ranks_of(tree, of)
+            if len(own) > limit:
+                near = ranks <= np.partition(ranks, limit - 1)[limit - 1]
+                own, ranks = own[near], ranks[near]
+            first = np.lexsort((own, ranks))[:limit]
+            if len(first):
+                out.append((np.full(len(first), no, dtype="int32"), own[first], ranks[first]))
+        nos, own, ranks = map(np.concatenate, zip(*out)) if out else (np.zeros(0, "int32"), np.zeros(0, "int64"), np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(nos), t.column("rowid").combine_chunks().take(pa.array(own)), pa.array(ranks)], names=found_schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        many = 0
+        for t in batches:
+            held.append(t)
+            many += len(t.column(t.schema.get_field_index("phrases")).flatten())
+            if many > MOST_HITS:
+                yield best(held)
+                held, many = [], 0
+        if held:
+            yield best(held)
+
+    @F.pandas_udf("int")
+    def number(texts: pd.Series) -> pd.Series:
+        return texts.map(no_of).astype("Int32")
+
+    place = F.row_number().over(Window.partitionBy("no").orderBy("rank", "rowid"))
+    top = hits.where(F.size("phrases") > 0).select("rowid", "length", "phrases", "fs").mapInArrow(run, found_schema).withColumn("position", place).where(F.col("position") <= limit)
+    return queries.select("query_id", number("query").alias("no")).join(top, "no").select("query_id", "rowid", "rank", "position")
+
+
+def _numbered(tree: object, numbers: dict[Phrase, int]) -> object:
+    """The tree with numbers in place of its phrases."""
+    return numbers[tree] if isinstance(tree, Phrase) else type(tree)(_numbered(tree.left, numbers), _numbered(tree.right, numbers))
+
+
+def ranks_of(tree: object, of: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, ranks) of the rows that match a numbered tree; of[phrase] has the sorted rows of a phrase and its shares of their ranks."""
+
+    def may(t: object) -> np.ndarray:
+        """Rows among which all matches are: for AND those of the rarer side."""
+        if isinstance(t, int):
+            return of[t][0]
+        if isinstance(t, Or):
+            return np.union1d(may(t.left), may(t.right))
+        return min(may(t.left), may(t.right), key=len) if isinstance(t, And) else may(t.left)
+
+    rows = may(tree)
+    if not len(rows):
+        return rows, np.zeros(0)
+    shares: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    matches: dict[int, np.ndarray] = {}
+
+    def match(t: object) -> np.ndarray:
+        if isinstance(t, int):
+            if t not in shares:
+                own, part = of[t]
+                at = np.searchsorted(own, rows)
+                at[at == len(own)] = 0
+                has = own[at] == rows if len(own) else np.zeros(len(rows), dtype=bool)
+                shares[t] = has, np.where(has, part[at] if len(own) else 0.0, 0.0)
+            return shares[t][0]
+        left, right = match(t.left), match(t.right)
+        matches[id(t)] = left & right if isinstance(t, And) else left | right if isinstance(t, Or) else left & ~right
+        return matches[id(t)]
+
+    whole = match(tree)
+    ranks = np.zeros(len(rows))
+
+    def add(t: object, live: np.ndarray) -> None:
+        """A phrase counts only where every AND and NOT above it matches; the right side of NOT never does."""
+        nonlocal ranks
+        if isinstance(t, int):
+            ranks = ranks - np.where(live, shares[t][1], 0.0)
+            return
+        live = live if isinstance(t, Or) else live & matches[id(t)]
+        add(t.left, live)
+        if not isinstance(t, Not):
+            add(t.right, live)
+
+    add(tree, whole)
+    return rows[whole], ranks[whole]

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from skein.operators.fusion import OVERFETCH, fuse
 from skein.operators.lookup import between, check_limit, newest
-from skein.operators.postings import rank_many, ranked_by_postings
+from skein.operators.postings import hits_of_postings, hits_of_texts, rank_many, ranked_by_postings
 from skein.operators.snippet import with_snippets
 from skein.operators.vector_search import nearest
 from skein.plans.match import MEMORY, MESSAGES, Layout, ranked
-from skein.plans.query import compile_query, parse_match
+from skein.plans.query import QueryError, compile_query, parse_match, phrases
 from skein.plans.synonyms import Synonyms, default_synonyms
 
 
@@ -106,6 +106,25 @@ def hybrid_search(
     return shown.select(*_projection(layout), snippet, rank).orderBy("rank", "rowid")
 
 
-def search_many(index: Index, queries: DataFrame, layout: Layout, limit: int = 10, synonyms: Synonyms | None = None) -> DataFrame:
-    """(query_id, rowid, rank, position): the best rows of each of queries(query_id, query), taken as they are: fields, phrases, AND, OR, NOT."""
-    return rank_many(index.postings, index.size, queries, layout, synonyms or default_synonyms(), limit)
+def search_many(source: Index | DataFrame, queries: DataFrame, layout: Layout, limit: int = 10, synonyms: Synonyms | None = None, valid: DataFrame | None = None) -> DataFrame:
+    """(query_id, rowid, rank, position): the best rows of each of queries(query_id, query), taken as they are: fields, phrases, AND, OR, NOT.
+
+    `source` is a stored index or, for one large batch of queries, the rows
+    themselves, whose texts are read once and need no index. `valid` (key,
+    rowid) are then the rows that count; they are joined when texts have become
+    numbers. Queries that ask nothing or can't be parsed have no rows.
+    """
+    trees: dict[str, object] = {}
+    for (text,) in queries.select("query").where("query IS NOT NULL").distinct().collect():
+        try:
+            tree = tree_of(text, layout, synonyms)
+        except QueryError:
+            continue
+        if tree is not None:
+            trees[text] = tree
+    asked = list(dict.fromkeys(p for t in trees.values() for p in phrases(t)))
+    if isinstance(source, Index):
+        return rank_many(hits_of_postings(source.postings, asked, layout), source.size, queries, trees, asked, layout, limit)
+    hits = hits_of_texts(source, asked, layout)
+    hits = hits if valid is None else hits.join(valid, [layout.key, "rowid"], "left_semi")
+    return rank_many(hits.drop(layout.key), None, queries, trees, asked, layout, limit)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skein.engine import SearchEngine
 from skein.functions.prepare import mail_text, memory_text, truncate_words
 from skein.functions.scores import bm25_to_score, cosine_distance, distance_to_score
-from skein.operators import lookup, search
+from skein.operators import lookup, postings, search
 from skein.operators.embedding import HashingEmbedder
 from skein.operators.fusion import fuse
 from skein.operators.postings import build_postings, collection_size, ranked_by_postings, sorted_by_term
@@ -174,6 +174,40 @@ def test_many_queries_rank_like_single_ones(spark, corpus):
         assert sorted(got.get(i, [])) == [(n + 1, r.rowid, round(r["rank"], 9)) for n, r in enumerate(found)]
 
 
+def test_many_queries_from_texts_and_in_slices(spark, corpus, monkeypatch):
+    """Texts in place of an index, ranked a few rows at a time, with words asked for twice."""
+    monkeypatch.setattr(postings, "MOST_HITS", 5)
+    df, _ = corpus
+    synonyms = Synonyms([["alpha", "delta"]])
+    texts = ["gamma gamma", '"alpha beta" project', "(project NOT runner) OR subject:gamma", "alpha cafe"]
+    queries = spark.createDataFrame([*enumerate(texts), (9, texts[0]), (10, "")], "query_id long, query string")
+    valid = df.where("rowid % 3 > 0").select("msgId", "rowid")
+    few = df.join(valid, "rowid", "left_semi")
+    index = search.Index(build_postings(few, MESSAGES), collection_size(few, MESSAGES))
+    rows = lambda found: {(r.query_id, r.position): (r.rowid, round(r["rank"], 9)) for r in found.collect()}
+    got = rows(search.search_many(df, queries, MESSAGES, 5, synonyms, valid))
+    assert got == rows(search.search_many(index, queries, MESSAGES, 5, synonyms))
+    for i, text in [*enumerate(texts), (9, texts[0])]:
+        found = ranked(few, search.tree_of(text, MESSAGES, synonyms), MESSAGES).orderBy("rank", "rowid").limit(5).collect()
+        assert [got[k] for k in sorted(got) if k[0] == i] == [(r.rowid, round(r["rank"], 9)) for r in found]
+    assert {k[0] for k in got} == {0, 1, 2, 3, 9}
+    assert search.search_many(df, queries, MESSAGES, 0, synonyms).count() == search.search_many(df, queries.where("query_id = 10"), MESSAGES).count() == 0
+
+
+def test_many_queries_shuffle_no_matches(spark):
+    """200 rows that all of 100 queries match are 20,000 matches; only the best of a task may be shuffled."""
+    df = spark.createDataFrame([(i, *[f"m{i}", "alpha", "", "", "", "", "beta gamma " * (i % 5 + 1)]) for i in range(200)], ["rowid", *COLUMNS])
+    queries = spark.createDataFrame([(i, "alpha " + "beta " * (i // 10) + "gamma " * (i % 10)) for i in range(100)], "query_id long, query string")
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    written = lambda: sum(found.apply(i).shuffleWriteRecords() for found in [stages()] for i in range(found.size()))
+    index = search.Index(build_postings(df, MESSAGES), collection_size(df, MESSAGES))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = written()
+    assert search.search_many(index, queries, MESSAGES, 2).count() == 200
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert 0 < written() - before < 6_000
+
+
 def test_a_batch_writes_only_its_own_rows(spark, tmp_path):
     engine = SearchEngine.open(spark, str(tmp_path / "db"), HashingEmbedder())
     store = engine.messages.collection
