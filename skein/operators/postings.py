@@ -194,16 +194,17 @@ def hits_of_texts(df: DataFrame, asked: list[Phrase], layout: Layout) -> DataFra
         lengths = sorted({len(t) for t in prefixes})
         phrase, n, i, col = (wanted[c].to_numpy(dtype="int64") for c in ("phrase", "n", "i", "col"))
         known: dict[str, list[int]] = {}
+        none: list[int] = []
 
         def uses(token: str) -> list[int]:
             """The places in phrases at which a token may stand."""
             if token not in known:
-                if len(known) > 500_000:
+                if len(known) > 100_000:
                     known.clear()
-                known[token] = [*exact.get(token, ()), *[u for m in lengths if m <= len(token) for u in prefixes.get(token[:m], ())]]
+                known[token] = [*exact.get(token, ()), *[u for m in lengths if m <= len(token) for u in prefixes.get(token[:m], ())]] or none
             return known[token]
 
-        for t in batches:
+        for t in (b.slice(k, 2_000) for b in batches for k in range(0, b.num_rows, 2_000)):
             length = np.zeros(t.num_rows, dtype="int64")
             found: list[tuple] = []
             for c, name in enumerate(columns):
@@ -324,16 +325,26 @@ def _numbered(tree: object, numbers: dict[Phrase, int]) -> object:
     return numbers[tree] if isinstance(tree, Phrase) else type(tree)(_numbered(tree.left, numbers), _numbered(tree.right, numbers))
 
 
+def _places(rows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the sorted `own` each row would stand, and whether it does."""
+    at = np.searchsorted(own, rows)
+    if not len(own):
+        return at, np.zeros(len(rows), dtype=bool)
+    at[at == len(own)] = 0
+    return at, own[at] == rows
+
+
 def ranks_of(tree: object, of: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """(rows, ranks) of the rows that match a numbered tree; of[phrase] has the sorted rows of a phrase and its shares of their ranks."""
 
     def may(t: object) -> np.ndarray:
-        """Rows among which all matches are: for AND those of the rarer side."""
+        """Rows among which all matches are."""
         if isinstance(t, int):
             return of[t][0]
-        if isinstance(t, Or):
-            return np.union1d(may(t.left), may(t.right))
-        return min(may(t.left), may(t.right), key=len) if isinstance(t, And) else may(t.left)
+        if isinstance(t, Not):
+            return may(t.left)
+        few, many = sorted((may(t.left), may(t.right)), key=len)
+        return np.union1d(few, many) if isinstance(t, Or) else few[_places(few, many)[1]]
 
     rows = may(tree)
     if not len(rows):
@@ -344,11 +355,8 @@ def ranks_of(tree: object, of: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.
     def match(t: object) -> np.ndarray:
         if isinstance(t, int):
             if t not in shares:
-                own, part = of[t]
-                at = np.searchsorted(own, rows)
-                at[at == len(own)] = 0
-                has = own[at] == rows if len(own) else np.zeros(len(rows), dtype=bool)
-                shares[t] = has, np.where(has, part[at] if len(own) else 0.0, 0.0)
+                at, has = _places(rows, of[t][0])
+                shares[t] = has, np.where(has, of[t][1][at], 0.0) if has.any() else np.zeros(len(rows))
             return shares[t][0]
         left, right = match(t.left), match(t.right)
         matches[id(t)] = left & right if isinstance(t, And) else left | right if isinstance(t, Or) else left & ~right
